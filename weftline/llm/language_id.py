@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bucket, map_rows
+from weftline.llm.common import bucket, filter_texts, map_rows
 
 #: Dimensions; symbols (0 for any run of non-letters, 26 Latin letters, the rest shared by hash); letters in an n-gram.
 DIM, SYMBOLS, N = 1024, 64, 3
@@ -117,26 +117,45 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return {r.l: np.array([x.x for x in r.v], np.float64) for r in total.collect()}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (the cosine, moved from -1..1 to 0..1) for every row of ``docs``."""
+def scorer(prototypes: dict[str, np.ndarray]):
+    """A function from texts to (language, score) pairs."""
     names = sorted(prototypes)
     p = np.array([prototypes[k] / max(np.sqrt(prototypes[k] @ prototypes[k]), 1e-12) for k in names]).reshape(len(names), DIM)
     mean = p.mean(axis=0) if len(names) > 1 else np.zeros(DIM)
     p = p - mean
     p /= np.maximum(np.sqrt((p * p).sum(axis=1, keepdims=True)), 1e-12)
 
-    def score(lists):
+    def score(texts: list[str | None]) -> list[tuple[str, float]]:
+        v = bundles(texts)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = v / np.maximum(norm, 1e-12) - mean
+        v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+        c = v @ p.T
+        best = c.argmax(axis=1) if names else []
+        return [(names[b], float(min(1.0, max(0.0, (1 + row[b]) / 2)))) if n else (UNDETERMINED, 0.0) for row, b, n in zip(c, best, norm.ravel())] if names else [(UNDETERMINED, 0.0)] * len(texts)
+
+    return score
+
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``lang_pred``, ``score`` (the cosine, moved from -1..1 to 0..1) for every row of ``docs``."""
+
+    def run(lists):
+        score = scorer(prototypes)
         for rows in lists:
-            v = bundles([r[1] for r in rows])
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            seen = (norm > 0).ravel()
-            v = v / np.maximum(norm, 1e-12) - mean
-            v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
-            c = v @ p.T if names else np.zeros((len(rows), 0))
-            best = c.argmax(axis=1) if names else np.zeros(len(rows), int)
-            yield [(r[0], names[b], float(min(1.0, max(0.0, (1 + c[i, b]) / 2)))) if names and seen[i] else (r[0], UNDETERMINED, 0.0) for i, (r, b) in enumerate(zip(rows, best))]
-
-    return map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), score, "doc_id long, lang_pred string, score double")
+            yield [(r[0], *x) for r, x in zip(rows, score([r[1] for r in rows]))]
+
+    return map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more for some language."""
+
+    def make():
+        score = scorer(prototypes)
+        return lambda texts: [k != UNDETERMINED and x >= least for k, x in score(texts)]
+
+    return filter_texts(docs, make, text)
 
 
 def trained(docs: DataFrame) -> dict[str, np.ndarray]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.llm import language_id, simhash
+import corpus_pipeline
+from weftline.llm import decontaminate, language_id, packing, secrets, simhash
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -27,3 +28,21 @@ def op8(spark, sf_dir):
 @query("op7_simhash")
 def op7(spark, sf_dir):
     return simhash.op7(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination")
+def op10(spark, sf_dir):
+    return decontaminate.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_secret_scan")
+def op6(spark, sf_dir):
+    return secrets.op6(table(spark, sf_dir, "documents"))
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    return packing.op1(table(spark, sf_dir, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
