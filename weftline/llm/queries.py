@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import decontaminate, language_id, packing, secrets, simhash
+from weftline.llm import decontaminate, embedding_dedup, language_id, packing, secrets, simhash, toxicity
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -46,3 +46,13 @@ def op1(spark, sf_dir):
 
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_embedding_dedup")
+def op9(spark, sf_dir):
+    return embedding_dedup.op9(table(spark, sf_dir, "embeddings"))
