@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import decontaminate, embedding_dedup, language_id, packing, secrets, simhash, toxicity
+from weftline.llm import chat, decontaminate, embedding_dedup, language_id, license_scan, packing, secrets, simhash, toxicity, warc
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -56,3 +56,18 @@ def op4(spark, sf_dir):
 @query("op9_embedding_dedup")
 def op9(spark, sf_dir):
     return embedding_dedup.op9(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    return license_scan.op5(table(spark, sf_dir, "documents"))
+
+
+@query("op2_chat_format", chat.SQL)
+def op2(spark, sf_dir):
+    return chat.op2(table(spark, sf_dir, "conversations"))
+
+
+@query("op3_warc_derivatives")
+def op3(spark, sf_dir):
+    return warc.op3(table(spark, sf_dir, "pages"))
