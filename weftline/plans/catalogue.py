@@ -18,3 +18,6 @@ def register(name: str, sql: str | None = None):
         return fn
 
     return put
+
+
+from weftline.plans import q_algos, q_comm, q_mesh, q_scalar  # noqa: E402, F401
