@@ -20,4 +20,4 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-from weftline.plans import q_algos, q_comm, q_mesh, q_scalar  # noqa: E402, F401
+from weftline.plans import q_algos, q_comm, q_control, q_mesh, q_scalar  # noqa: E402, F401
