@@ -44,7 +44,7 @@ def test_regression_finds_the_direction(spark):
     z = x @ np.ones(3)
     want = ((1 / (1 + np.exp(-z)) - (x @ ref > 0))[:, None] * x).sum(axis=0)
     assert np.allclose(regression.gradient(s, [1.0] * 3), want)
-    pm = s.withColumn("y", F.when("y", 1.0).otherwise(-1.0))
+    pm = s.withColumn("y", F.when(F.col("y"), 1.0).otherwise(-1.0))
     assert np.allclose(regression.gradient(pm, [1.0] * 3, True), want)
 
 

@@ -37,7 +37,7 @@ def barrier(params: dict) -> Program:
     one, all_ = p.declare("one", "v long", 1), p.declare("all", "v long", parts)
     p.writing(one).transform(lambda f: {"one": f["one"].sparkSession.range(1).select(F.col("id").alias("part"), F.lit(1).cast("long").alias("v"))})
     p.loop(trips)
-    p.reading(one).scatter(lambda f: f["one"].select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("dst"), "v"))
+    p.reading(one).scatter(lambda f: f["one"].select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("dst"), "v"))
     p.writing(all_).gather(lambda f, box: {"all": box.select("part", F.col("messages")[0]["v"].alias("v"))}, expect=1)
     p.reading(all_).scatter(lambda f: f["all"].select(F.lit(0).cast("long").alias("dst"), "part", "v"))
     p.writing(one).gather(lambda f, box: {"one": box.select("part", F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + m["v"]).alias("v"))}, expect=parts)
