@@ -15,7 +15,6 @@ token alone. Null ids pass through, and repeated rows are packed each. No docume
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,6 @@ from weftline.session import written
 WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 3_000_000
 #: BM25's constants, the seed's terms that are looked up (rarest first), and the neighbours tried whole before one is cut.
 K1, B, QUERY_TERMS, WHOLE = 1.2, 0.75, 32, 8
-CACHE = 300_000
 
 _loaded: dict = {}
 
@@ -37,21 +35,19 @@ class Encoder:
     """Token ids of texts by the tokenizers file, little-endian uint16.
 
     The same vocabulary's rank file gives the same ids faster; texts with the special token's string
-    go through the tokenizers library itself. Words between single spaces never share a token across
-    the space's left side, so their ids are kept by word; texts with other white space in a row are
-    encoded in one go.
+    go through the tokenizers library itself.
     """
 
     SPECIAL = "<|endoftext|>"
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        self.path, self.known, self.slow, self.fast = path, {}, None, None
+        self.path, self.slow, self.fast = path, None, None
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_to_numpy
 
     def exact(self, text: str) -> np.ndarray:
         if self.slow is None:
@@ -65,19 +61,7 @@ class Encoder:
             return b""
         if self.fast is None or self.SPECIAL in text:
             return self.exact(text).tobytes()
-        if re.search(r"\s\s", text) or text[0] == " ":
-            return np.array(self.fast(text), "<u2").tobytes()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        words = text.split(" ")
-        out = [np.array(self.fast(words[0]), "<u2").tobytes()]
-        for w in words[1:]:
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = np.array(self.fast(" " + w), "<u2").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return self.fast(text, disallowed_special=()).astype("<u2").tobytes()
 
 
 def encoder(path: str | None = None) -> Encoder:
