@@ -32,9 +32,9 @@ RECORD = "page_id long, record_type string, record_id string, refers_to string,
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|section|article|header|footer|nav|aside|main|h[1-6]|pre|blockquote|form|figure|figcaption|option|body|html)\b[^>]*>", re.I)
-_CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+_TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*)|[/!?a-zA-Z])[^>]*>")
+#: What stands for a tag in the text, if not nothing.
+_SHOWS = dict.fromkeys("p div br hr li ul ol dl dt dd tr table thead tbody section article header footer nav aside main h1 h2 h3 h4 h5 h6 pre blockquote form figure figcaption option body html".split(), "\n") | {"td": " ", "th": " "}
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -46,15 +46,22 @@ def digest(data: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """The visible text: one line a block, white space made single spaces."""
-    t = _HEAD.sub(" ", _HIDDEN.sub(" ", page))
-    t = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", re.sub(r"\s+", " ", t))))
+    return _lines(_HIDDEN.sub(" ", page))
+
+
+def _lines(shown: str) -> str:
+    t = " ".join(_HEAD.sub(" ", shown).split())
+    t = _TAG.sub(lambda m: _SHOWS.get(m[1].lower(), "") if m[1] else "", t)
     lines = (" ".join(line.split()) for line in html.unescape(t).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def facts(page: str) -> list[tuple[str, str]]:
     """Title, language and links of a page as warc-fields."""
-    shown = _HIDDEN.sub(" ", page)
+    return _facts(_HIDDEN.sub(" ", page))
+
+
+def _facts(shown: str) -> list[tuple[str, str]]:
     out = []
     if m := _TITLE.search(shown):
         out.append(("title", " ".join(html.unescape(m[1]).split())))
@@ -80,11 +87,12 @@ def derive(key, response_id: str | None, uri: str | None, date: str | None, http
     source = response_id or record_id("response", uri, date, digest(body))
     source_block, source_payload = digest(block), digest(body)
     out = []
-    fields = facts(payload or "") + [("source-record-id", source), ("source-block-digest", source_block), ("source-payload-digest", source_payload)]
+    shown = _HIDDEN.sub(" ", payload or "")
+    fields = _facts(shown) + [("source-record-id", source), ("source-block-digest", source_block), ("source-payload-digest", source_payload)]
     fields += [("source-header", line) for line in head.split("\r\n") if line]
     made = (
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")),
-        ("conversion", "text/plain; charset=utf-8", plain_text(payload or "").encode("utf-8", "replace")),
+        ("conversion", "text/plain; charset=utf-8", _lines(shown).encode("utf-8", "replace")),
     )
     for kind, mime, data in made:
         own, d = record_id(kind, source), digest(data)
