@@ -67,16 +67,16 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, keep: i
     if pos == 0 or pos == n:
         return Machine(np.zeros(0, int), 35.0 if n and pos else -35.0, np.zeros(0), np.zeros((0, rank)))
     every = np.concatenate(rows) if rows else np.zeros(0, int)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(every, minlength=BUCKETS).astype(float)
-    hit = np.bincount(every, y[owner].astype(float), BUCKETS)
+    hit = np.bincount(every[(y > 0)[owner]], minlength=BUCKETS).astype(float)
     want = df * pos / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (hit - want) ** 2 / want + (hit - want) ** 2 / (df - want)
     chi[(df < min(3, n)) | ~np.isfinite(chi)] = 0
     known = np.sort(np.argsort(-chi, kind="stable")[:keep])
     known = known[chi[known] > LEAST_CHI]
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[known] = np.arange(len(known))
     p = place[every]
     owner, p = owner[p >= 0], p[p >= 0]
