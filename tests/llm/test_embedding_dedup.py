@@ -71,3 +71,26 @@ def test_copies_and_odd_rows(spark):
         else:
             assert (n, c) == want.get(i, (0, i)) and kept == (c == i)
     assert run(spark, []) == []
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    r = np.random.default_rng(7)
+    n, dim = 21_000, 64
+    v = x.unit(r.normal(size=(n, dim)))
+    v[: n // 3] = x.unit(np.sqrt(0.95) * v[0] + np.sqrt(0.05) * v[: n // 3])  # cosines of 0.93 to 0.97 or so
+    v = v.astype(np.float32)
+    u = x.unit(v.astype(float))
+    want = np.concatenate([(u[a : a + 1000] @ u.T >= x.LEAST).sum(axis=1) - 1 for a in range(0, n, 1000)])
+    got = {q.vec_id: q for q in run(spark, list(enumerate(v.tolist())))}
+    have = np.array([got[i].n_links for i in range(n)])
+    assert (have <= want).all() and have.sum() >= 0.999 * want.sum() > 40_000_000
+    assert {got[i].component_id for i in range(n // 3)} == {0}
+
+
+def test_thinned_pivots():
+    r = np.random.default_rng(1)
+    v = x.unit(np.concatenate([r.normal(size=(300, 16)), r.normal(size=16) + r.normal(size=(700, 16)) * 0.1])[r.permutation(1000)])
+    kept = x.thinned(v, 100)
+    c = kept @ kept.T - np.eye(len(kept))
+    assert len(kept) == 100 and c.max() < x.APART
+    assert len(x.thinned(v[:0], 5)) == 0 and len(x.thinned(v[:9], 1)) == 1

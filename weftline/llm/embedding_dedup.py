@@ -1,15 +1,16 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its K nearest reference points (pivots), in order. Inverted lists go from a
-pivot to the vectors that name it; vectors that share at least SHARED pivots are candidates, and the
-cosine in double precision decides. A pair is taken in one list only, that of the least pivot it shares,
+pivot to the vectors that name it; vectors that share at least SHARED pivots, or have the same nearest
+one, are candidates, and the cosine in double precision decides. A pair is taken in one list only, that of the least pivot it shares,
 so links can be counted without collecting or deduplicating pairs: a list (or a pair of its blocks of
 about BLOCK vectors, if it's long) returns per vector the number of links and a spanning forest.
 
 The number of pivots grows with the vectors, so that lists stay near LIST long, up to MOST_PIVOTS; they
-are drawn from a sample of the vectors (SAMPLE at most, by a hash of the id), dimension by dimension, and
-are random directions for dimensions not in the sample. Every vector is indexed. Exact copies are
-indexed once and counted. At cosine 0.9 in 64 dimensions, two vectors share two of their eight
+are drawn from a sample of the vectors (SAMPLE at most, by a hash of the id), dimension by dimension, so
+that no two of them have a cosine of APART or more, and the rest are random directions. A group of near copies thus has one
+pivot or a few, whatever its size: its members' nearest pivots aren't ranked by the copies' noise alone,
+and those nearest to the same pivot are all compared. Every vector is indexed. Exact copies are indexed once and counted. At cosine 0.9 in 64 dimensions, two vectors share two of their eight
 pivots in 98.8 % of cases with 1,024 pivots, and more often with fewer or when closer.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link
@@ -27,7 +28,7 @@ from weftline.llm.common import map_rows
 from weftline.llm.graph import components
 from weftline.session import checkpoint
 
-LEAST, K, SHARED = 0.9, 8, 2
+LEAST, K, SHARED, APART = 0.9, 8, 2, 0.7
 LIST, BLOCK, SAMPLE, MOST_PIVOTS = 1000, 2048, 20_000, 4096
 
 
@@ -37,6 +38,22 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def thinned(v: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of the unit vectors whose cosine with each one kept before is under APART."""
+    kept = v[:0]
+    for at in range(0, len(v), 256):
+        part = v[at : at + 256]
+        part = part[(part @ kept.T < APART).all(axis=1)]
+        far, own = part @ part.T < APART, []
+        for i in range(len(part)):
+            if far[i, own].all():
+                own.append(i)
+        kept = np.concatenate([kept, part[own]])
+        if len(kept) >= most:
+            break
+    return kept[:most]
+
+
 class Pivots:
     """Reference points by dimension."""
 
@@ -97,24 +114,22 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
     local, cols = np.unique(near, return_inverse=True)
     hot = np.zeros((len(rows), len(local)), np.float32)
     np.put_along_axis(hot, cols.reshape(near.shape), 1, axis=1)
-    low = hot[:, local < pivot]
+    low, home = hot[:, local < pivot], near[:, 0] == pivot
     left, right = np.flatnonzero(side == one), np.flatnonzero(side == two)
     n, links = np.zeros(len(rows), np.int64), []
     for a0 in range(0, len(left), 512):
         a = left[a0 : a0 + 512]
         for b0 in range(0, len(right), 512):
             b = right[b0 : b0 + 512]
-            found = (hot[a] @ hot[b].T >= SHARED) & (low[a] @ low[b].T == 0)
+            found = (hot[a] @ hot[b].T >= SHARED) | home[a][:, None] & home[b]
+            found &= (low[a] @ low[b].T == 0) & (v[a] @ v[b].T >= LEAST)
             if one == two:
                 found &= a[:, None] < b[None, :]
             i, j = np.nonzero(found)
-            for at in range(0, len(i), 100_000):
-                x, y = a[i[at : at + 100_000]], b[j[at : at + 100_000]]
-                near_enough = np.einsum("ij,ij->i", v[x], v[y]) >= LEAST
-                x, y = x[near_enough], y[near_enough]
+            if len(i):
+                x, y = a[i], b[j]
                 n += np.bincount(x, mult[y], len(rows)).astype(np.int64) + np.bincount(y, mult[x], len(rows)).astype(np.int64)
-                if len(x):
-                    links.append(np.unique(np.stack([x, y]), axis=1))
+                links.append(np.stack([x, y]))
         if len(links) > 4:
             links = [_kept(links, len(rows))]
     if links:
@@ -141,12 +156,13 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     n = reps.count()
     want = int(min(MOST_PIVOTS, max(16, n * K // LIST)))
     drawn: dict[int, list] = {}
-    for r in reps.select("id", "v").orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(min(SAMPLE, want)).collect():
-        drawn.setdefault(len(r.v), []).append(r.v)
-    pivots = Pivots({d: unit(np.array(v, np.float64)) for d, v in drawn.items()}, want)
+    for r in reps.select("id", "v").orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(min(SAMPLE, 4 * want)).toLocalIterator():
+        drawn.setdefault(len(r.v), []).append(np.array(r.v, np.float64))
+    pivots = Pivots({d: thinned(unit(np.array(v)), want) for d, v in drawn.items()}, want)
     index = checkpoint(permutations(reps, pivots))
-    # sharing SHARED pivots, two vectors share one of the K - SHARED + 1 least of each
-    posted = index.withColumn("pivot", F.explode(F.slice(F.array_sort("near"), 1, K - SHARED + 1)))
+    # sharing SHARED pivots, two vectors share one of the K - SHARED + 1 least of each; the nearest is posted always
+    least = F.slice(F.array_sort("near"), 1, K - SHARED + 1)
+    posted = index.withColumn("pivot", F.explode(F.array_union(least, F.slice("near", 1, 1))))
     # a number of blocks per list: MOST_PIVOTS rows a dimension
     blocks = posted.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
