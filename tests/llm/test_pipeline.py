@@ -32,3 +32,21 @@ def test_stages_and_run(spark, tmp_path, docs, words):
     e = packing.encoder()
     assert sum(x.length for x in out) == sum(len(e(x.text)) // 2 + 1 for x in d.collect())
     assert decontaminate and secrets and simhash
+
+
+def test_language_stage_rejects_what_is_like_no_language(spark, docs):
+    import random
+
+    r = random.Random(3)
+    en = "the cat and the dog went with that thing over there while she was thinking of them".split()
+    de = "der hund und die katze gingen nicht mit einer schönen straße über das haus als wir schliefen".split()
+    rows = [(i, " ".join(r.choices(en if i % 2 else de, k=r.choice((4, 12, 40, 200)))), "en" if i % 2 else "de") for i in range(200)]
+    bad = {
+        1000: "".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=900)), 1001: "".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=200)),
+        1002: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        1003: "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        1004: "static int f(char *buf, size_t n) { for (size_t i = 0; i < n; ++i) if (!buf[i]) return -1; printf(\"%zu\", n); } #define MAXQ(x, y) ((x) > (y) ? (x) : (y))", 1005: "123 ### 4", 1006: None,
+    }
+    short = {2000: "the cat", 2001: "der hund", 2002: "that thing " * 300}
+    out = c.language(spark, docs(rows + [(i, t, None) for i, t in {**bad, **short}.items()]), "").collect()
+    assert {x.doc_id for x in out} == {i for i, *_ in rows} | set(short)

@@ -24,6 +24,10 @@ DIM, SYMBOLS, N = 1024, 64, 3
 UNDETERMINED = "und"
 #: The most labelled texts that are learnt from.
 FIT_ROWS = 20_000
+#: A text is like a language if its n-grams are at least LEAST_LIKE times as usual there as those of its training
+#: texts; a short text may also be under that by chance, up to CHANCE times the training texts' spread (a median, so about a third
+#: of what few n-grams vary by).
+LEAST_LIKE, CHANCE = 0.4, 9.0
 
 
 @lru_cache(1)
@@ -91,16 +95,21 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def learnt_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``l, t``: at most ``fit_rows`` ids of the rows with a text and a language; a hash of ``key`` alone says which."""
+    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
+    # two narrow passes: the ids first, so that texts are never sorted
+    chosen = known.select("k", F.xxhash64(F.col("k").cast("string"), F.lit("fit")).alias("h")).where("k is not null").distinct().orderBy("h", "k").limit(fit_rows)
+    return known.join(F.broadcast(chosen.select("k")), "k").select("l", "t")  # fit_rows ids at most
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
     """Prototypes by language, from at most ``fit_rows`` of the rows with a text and a language.
 
     Which rows those are depends on a hash of ``key`` alone. What comes to the driver is one vector a
     language: the counts are added on the executors.
     """
-    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    # two narrow passes: the ids first, so that texts are never sorted
-    chosen = known.select("k", F.xxhash64(F.col("k").cast("string"), F.lit("fit")).alias("h")).where("k is not null").distinct().orderBy("h", "k").limit(fit_rows)
-    known = known.join(F.broadcast(chosen.select("k")), "k")  # fit_rows ids at most
+    known = learnt_from(docs, text, lang, key, fit_rows)
 
     def partial(lists):
         sums: dict[str, np.ndarray] = {}
@@ -112,7 +121,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                     sums[r[0]] = sums.get(r[0], 0) + np.rint(x * (2**20 / norm)).astype(np.int64)  # each text counts alike
         yield [(k, [int(x) for x in v]) for k, v in sums.items()]
 
-    parts = map_rows(known.select("l", "t"), partial, "l string, v array<bigint>")
+    parts = map_rows(known, partial, "l string, v array<bigint>")
     total = parts.select("l", F.posexplode("v").alias("i", "x")).groupBy("l", "i").agg(F.sum("x").alias("x")).groupBy("l").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     return {r.l: np.array([x.x for x in r.v], np.float64) for r in total.collect()}
 
@@ -148,19 +157,65 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more for some language."""
+def usual(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts x languages (by name): how usual a text's n-grams are there on average, in any unit; and how many n-grams tell, repeated ones less."""
+    p = np.array([prototypes[k] / max(np.sqrt(prototypes[k] @ prototypes[k]), 1e-12) for k in sorted(prototypes)]).reshape(len(prototypes), DIM)
+    counts = [grams(t or "")[1].astype(float) for t in texts]
+    n = np.array([c.sum() for c in counts])
+    return bundles(texts) @ p.T / np.maximum(n, 1)[:, None], n * n / np.maximum([c @ c for c in counts], 1)
+
+
+def norms(docs: DataFrame, prototypes: dict[str, np.ndarray], **names) -> dict[str, tuple[float, float]]:
+    """By language, of the texts that ``fit`` learns from: the median of ``usual``, and the spread of one n-gram as a share of it.
+
+    Both are medians, so that some wrong labels don't move them. Two numbers a text come to the driver.
+    """
+    at = {k: i for i, k in enumerate(sorted(prototypes))}
+
+    def run(lists):
+        for rows in lists:
+            u, n = usual([r[1] for r in rows], prototypes)
+            yield [(r[0], float(x[at[r[0]]]), float(m)) for r, x, m in zip(rows, u, n) if m and r[0] in at]
+
+    by: dict[str, list] = {}
+    for r in map_rows(learnt_from(docs, **names), run, "l string, u double, n double").collect():
+        by.setdefault(r.l, []).append((r.u, r.n))
+    out = {}
+    for k, v in by.items():
+        u, n = np.array(v).T
+        middle = float(np.median(u))
+        if middle > 0:
+            out[k] = middle, float(1.4826 * np.median(np.abs(u / middle - 1) * np.sqrt(n)))
+    return out
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], norm: dict[str, tuple[float, float]], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is like some language (LEAST_LIKE).
+
+    A text too short to tell (by CHANCE, some dozens of n-grams) stays, one without letters goes.
+    """
+    own = {k: prototypes[k] for k in norm}
+    middle, spread = np.array([norm[k] for k in sorted(norm)]).reshape(-1, 2).T
 
     def make():
-        score = scorer(prototypes)
-        return lambda texts: [k != UNDETERMINED and x >= least for k, x in score(texts)]
+        def keep(texts):
+            u, n = usual(texts, own)
+            least = np.minimum(LEAST_LIKE, 1 - CHANCE * spread / np.sqrt(np.maximum(n, 1))[:, None])
+            return ((u / middle >= least).any(axis=1) & (n > 0)).tolist()
+
+        return keep
 
     return filter_texts(docs, make, text)
 
 
+def to_learn(docs: DataFrame) -> DataFrame:
+    """The documents that aren't held out."""
+    return docs.where(bucket(F.col("doc_id"), 4) != 2)
+
+
 def trained(docs: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from the documents that aren't held out."""
-    return fit(docs.where(bucket(F.col("doc_id"), 4) != 2))
+    return fit(to_learn(docs))
 
 
 def op8(docs: DataFrame) -> DataFrame:
