@@ -67,3 +67,55 @@ def test_no_python_in_the_plan(docs):
     plan = x.op5(docs([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert len(rules()) > 200
+
+
+def examples(parsed):
+    """Texts that a parsed regex matches: every branch and both ends of every repeat at least once; white space as a line break and indent too."""
+    from re import _constants as k
+
+    def one(op, arg):
+        if op in (k.LITERAL,):
+            return [chr(arg)]
+        if op is k.IN:
+            out = []
+            for o, a in arg:
+                out += [chr(a)] if o is k.LITERAL else [chr(a[0])] if o is k.RANGE else {k.CATEGORY_SPACE: [" ", "\n"], k.CATEGORY_DIGIT: ["3"], k.CATEGORY_WORD: ["a"], k.CATEGORY_NOT_SPACE: ["x"]}[a]
+            return out
+        if op in (k.MAX_REPEAT, k.MIN_REPEAT):
+            low, high, inner = arg
+            some = examples(inner)
+            return [x * n for x in some for n in {low, min(high, max(low, 1)), min(high, low + 2) if " " in some or "\n" in some else low}]
+        if op is k.SUBPATTERN:
+            return examples(arg[3])
+        if op is k.BRANCH:
+            return [x for b in arg[1] for x in examples(b)]
+        if op is k.ANY:
+            return ["x"]
+        assert op in (k.AT, k.ASSERT, k.ASSERT_NOT), op
+        return [""]
+
+    parts = [list(dict.fromkeys(one(op, arg))) for op, arg in parsed]
+    most = max(map(len, parts), default=0)
+    first = ["".join(p[min(i, len(p) - 1)] for p in parts) for i in range(most)]
+    each = ["".join(p[0] if j != i else x for j, p in enumerate(parts)) for i in range(len(parts)) for x in parts[i]]
+    return list(dict.fromkeys(first + each)) or [""]
+
+
+def test_every_rule_passes_the_gate(spark):
+    from re import _parser
+
+    from pyspark.sql import functions as F
+
+    from weftline.llm.license_rules import GATE
+
+    texts = [(r["priority"], f"é{pre}{t}") for r in rules() for t in examples(_parser.parse(r["regex"], re.A)) for pre in ("", " ") if re.search(r["regex"], f"é{pre}{t}", re.A)]
+    assert {p for p, _ in texts} == {r["priority"] for r in rules()}
+    texts += [(-1, "This program is released under the GNU GPL v3."), (-1, "Creative\n    Commons Attribution"), (-1, "bsd   zero-clause")]
+    missed = spark.createDataFrame(texts, "p int, t string").where(~F.col("t").rlike(GATE)).collect()
+    assert not missed, missed[:5]
+
+
+def test_rules_that_the_gate_once_missed(docs):
+    texts = {1: "This program is released under the GNU GPL v3.", 2: "GNU GPL version 2", 3: "under Creative\n    Commons Attribution", 4: "bsd  zero-clause"}
+    got = {r.doc_id: (r.labels, r.score) for r in x.op5(docs(list(texts.items()))).collect()}
+    assert got == {1: ("gpl-3.0", 0.9), 2: ("gpl-2.0", 0.6), 3: ("cc-by", 0.6), 4: ("0bsd", 0.6)}
