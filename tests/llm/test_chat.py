@@ -64,3 +64,60 @@ def test_sql_agrees(spark, tmp_path):
     c.execute(f"create view conversations as select * from read_parquet('{tmp_path}/c/*.parquet')")
     want = c.execute(f"select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from ({chat.SQL})").fetchall()
     assert sorted(map(tuple, chat.op2(df).collect())) == sorted(want)
+
+
+def brute_fold(events):
+    """Events in order, one at a time."""
+    live, at, order = {}, {}, []
+    key = lambda e: (e[1] is not None, e[1] or 0, e[6] if len(e) > 6 else 0, 5 if e[2] == "delete" else chat.KINDS.index(e[2]) + 1, e[5] or "")
+    out = {}
+    for n, e in enumerate(sorted(events, key=key)):
+        conv, seq, kind, msg, role, text = e[:6]
+        m = (conv, msg) if msg is not None else (conv, ("own", n))
+        at.setdefault(m, (seq is not None, seq or 0))
+        was = live.get(m, ["", "", True])
+        if not was[0] and role:
+            was[0] = role
+        if kind == "delta":
+            was[1] += text or ""
+        else:
+            was[1], was[2] = text or "", kind != "delete"
+        live[m] = was
+    for m, (role, text, there) in live.items():
+        if there:
+            out.setdefault(m[0], []).append((at[m], role, text))
+    return {c: [(r, t) for _, r, t in sorted(v)] for c, v in out.items()}
+
+
+def test_fold_against_brute_force(spark):
+    r = random.Random(9)
+    for _ in range(3):
+        events = []
+        for conv in (1, 2, None):
+            for seq in r.sample(range(60), 40):
+                kind = r.choice(chat.KINDS)
+                events.append((conv, seq, kind, r.choice(["a", "b", "c", None if kind == "message" else "d"]), r.choice([None, "", "user", "assistant"]), r.choice([None, "", "x", "</s>", "é"])))
+        want = brute_fold(events)
+        for size in (None, 8):
+            got = {}
+            for p in chat.parts(spark.createDataFrame(events, EVENTS), size).collect():
+                got.setdefault(p.conv_id, []).append((p.part, p.formatted))
+            assert {c: chat.read_back("".join(t for _, t in sorted(v))) for c, v in got.items()} == want
+
+
+def test_a_tables_log_is_folded_back(spark):
+    r = random.Random(4)
+    rows = [(c, r.choice([None, *range(6)]), r.choice(["user", "assistant", None]), r.choice(TRICKY + ["a", "ab", "abc", "abcd", None])) for c in (1, 2, 3, None) for _ in range(60)]
+    log = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    events = [(e.conv_id, e.seq, e.kind, e.msg, e.role, e.text, e.sub) for e in log.collect()]
+    assert {e[2] for e in events} == set(chat.KINDS) and len(events) > 2.5 * len(rows)
+    want = {c: [(q, t) for _, _, q, t in sorted((s is not None, s or 0, q or "", t or "") for k, s, q, t in rows if k == c)] for c in (1, 2, 3, None)}
+    assert brute_fold(events) == want
+    got = {x.conv_id: chat.read_back(x.formatted) for x in chat.formatted(log).collect()}
+    assert got == want
+
+
+def test_op2_folds_its_log_in_one_shuffle(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    plan = chat.op2(df)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "regenerate" in plan and plan.count("Exchange ") == 1, plan
