@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -54,13 +55,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As checkpoint(), but as a compressed Parquet table, of which later passes read the columns they need."""
+    """As checkpoint(), but as a compressed Parquet table, of which later passes read the columns they need; see release()."""
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that written() made in this process, once no DataFrame needs them; returns how many."""
+    n = 0
+    while _written:
+        remove(spark, _written.pop())
+        n += 1
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
