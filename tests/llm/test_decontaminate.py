@@ -55,6 +55,28 @@ def test_all_occurrences_within_budget(spark, docs, words):
     assert {(x.doc_id, x.item_id): x.distance for x in split.collect()} == want
 
 
+def brute_holds(t, p):
+    """Whether the normal text holds the normal item: edits in 8 % of its characters; with none to spare, as whole words."""
+    e = len(p) * 8 // 100
+    if e:
+        return brute(p, t) <= e
+    return f" {p} " in f" {t} "
+
+
+def test_short_items_may_differ_too(spark, docs, words):
+    r = random.Random(8)
+    items = [(1, "capital of france is?"), (2, "abc def ghi j"), (3, "tiny one"), (4, "who was he"), (5, words(5)[:13].strip() + "xyzq")]
+    rows = [(0, "the cbpital of france is? paris"), (1, "abc dxf ghi j"), (2, "abc dxf ghj j"), (3, "a tiny one."), (4, "a tiny one b"), (5, "whowas he"), (6, "xwho was he")]
+    rows += [(10 + k, f"{words(3)} {edited(r, d.normal(items[k % 5][1]), k % 3)} {words(3)}") for k in range(60)]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, i) for k, t in rows for i, p in items if brute_holds(d.normal(t), d.normal(p))}
+    assert {(x.doc_id, x.item_id) for x in d.matches(docs(rows), df).collect()} == want
+    assert {(0, 1), (1, 2), (4, 3)} <= want and not {(2, 2), (3, 3), (5, 4), (6, 4)} & want
+    for chars in (10**6, 20):
+        kept = d.clean(docs(rows + [(0, "a leak-free row"), (4, None)], extra=("row_k1", "k1")), df, block_chars=chars)
+        assert sorted(x.doc_id for x in kept.collect()) == sorted([k for k, _ in rows if k not in {a for a, _ in want}] + [0, 4])
+
+
 def test_edges(spark, docs):
     long = "a question about the long river and the bridge that crosses it"
     items = spark.createDataFrame([(1, long), (2, None), (3, "  "), (4, "short one"), (None, long), (1, long)], "item_id long, text string")

@@ -6,20 +6,24 @@ all pieces finds a place of every such occurrence, and Myers' bit-parallel dista
 around that place decides. Both sides are lower-cased and their white space made single spaces first.
 
 The items are taken in blocks of at most BLOCK_CHARS characters, each a pass of its own over the
-documents, so what a task holds is bounded whatever the size of the benchmark. Null or blank items
-match nothing; null and empty texts hold nothing. Items under MIN_CHARS characters are matched
-without edits and as whole words. Repeated items and rows are each reported; null ids pass through.
+documents, so what a task or the driver holds is bounded whatever the size of the benchmark: with more than one
+block, a block's matches are written before the next block is read. Null or blank items
+match nothing; null and empty texts hold nothing. Items too short for an edit (under 13 characters) match
+as whole words only. Repeated items and rows are each reported; null ids pass through. No rows or no items give no matches.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import filter_texts, map_rows
+from weftline.llm.common import filter_texts, map_rows, row_key, without
+from weftline.session import written
 
-RATE, MIN_CHARS, BLOCK_CHARS = 0.08, 24, 8_000_000
+RATE, BLOCK_CHARS = 0.08, 8_000_000
 
 
 def normal(text: str | None) -> str:
@@ -27,7 +31,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int, rate: float = RATE) -> int:
-    return int(rate * length) if length >= MIN_CHARS else 0
+    return int(rate * length)
 
 
 def myers(pattern: str, text: str, peq: dict[str, int] | None = None) -> tuple[int, int]:
@@ -96,7 +100,7 @@ class Matcher:
                 _, item, e, peq = self.items[i]
                 n = len(item)
                 if start >= 0 and text.startswith(item, start):
-                    if n >= MIN_CHARS or (start == 0 or text[start - 1] == " ") and (start + n == len(text) or text[start + n] == " "):
+                    if e or (start == 0 or text[start - 1] == " ") and (start + n == len(text) or text[start + n] == " "):
                         best[i] = (0, start + n)
                 elif e:
                     low = max(0, start - e)
@@ -125,29 +129,52 @@ def blocks(benchmark: DataFrame, item: str = "item_id", item_text: str = "text",
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance``, ``end_at``: one row for each document and item it holds."""
-    out, schema = None, "doc_id long, item_id long, distance int, end_at long"
-    for own in blocks(benchmark, item, item_text, block_chars):
-
-        def run(lists, own=own):
-            matcher = Matcher(own, rate)
-            for rows in lists:
-                yield [(r[0], *m) for r in rows for m in matcher.match(r[1])]
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _found(own, blocks(benchmark, item, item_text, block_chars), "doc_id long", rate).select("doc_id", "item_id", "distance", "end_at")
 
-        part = map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, schema)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
+def _found(texts: DataFrame, every, keys: str, rate: float) -> DataFrame:
+    """Matches of the items in the blocks ``every``, with the columns ``keys`` of ``texts`` (all but its second, the text)."""
+    out, schema, before = None, f"{keys}, item_id long, distance int, end_at long", None
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item."""
-    for own in blocks(benchmark):
-
-        def make(own=own):
-            matcher = Matcher(own, rate)
+    def part(items):
+        def run(lists):
+            matcher = Matcher(items, rate)
+            for rows in lists:
+                yield [(r[0], *r[2:], *m) for r in rows for m in matcher.match(r[1])]
+
+        return map_rows(texts, run, schema)
+
+    for items in every:
+        if before is not None:  # one block is in hand at a time
+            done = written(part(before), "matches")
+            out = done if out is None else out.union(done)
+        before = items
+    if before is None:
+        return texts.sparkSession.createDataFrame([], schema)
+    return part(before) if out is None else out.union(written(part(before), "matches"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item.
+
+    One block is a filter over the texts; with more, the row_key() of the rows that hold one is written for each block, and
+    those rows are left out at last.
+    """
+    every = blocks(benchmark, block_chars=block_chars)
+    first, second = next(every, None), next(every, None)
+    if first is None:
+        return docs
+    if second is None:
+
+        def make():
+            matcher = Matcher(first, rate)
             return lambda texts: [not matcher.match(t) for t in texts]
 
-        docs = filter_texts(docs, make, text)
-    return docs
+        return filter_texts(docs, make, text)
+    keys = row_key(docs)
+    own = docs.select(keys[0], F.col(text).alias("text"), keys[1])
+    return without(docs, written(_found(own, itertools.chain([first, second], every), "k1 long, k2 long", rate).select("k1", "k2").distinct(), "leaked"))
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

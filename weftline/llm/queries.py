@@ -1,8 +1,7 @@
-"""The queries opN_<name> and the pipeline, each over its whole table."""
+"""The queries opN_<name>, each over its whole table."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from weftline.llm import chat, decontaminate, embedding_dedup, language_id, license_scan, packing, secrets, simhash, toxicity, warc
 from weftline.session import table
 
@@ -45,9 +44,6 @@ def op1(spark, sf_dir):
     return packing.op1(table(spark, sf_dir, "documents"))
 
 
-query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
-
-
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
