@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds spans.
 
 The field tags tokens (runs of letters, digits and _+/-, or single marks) as secret begin, inside or
-outside, from their shape, the neighbouring words and the file's features; Viterbi gives the best tags.
-A secret can only begin at a token that isn't plain (8 or more characters with a digit, or with capitals
-inside); between such tokens and the marks and tokens right after them, the tags are outside by
-construction, so the chain falls apart there and only the stretches around them are decoded. Whole
-texts are looked at. The weights are trained on the driver, on lines written by a seeded generator.
-
+outside, from their shape, the neighbouring words and the file's features; Viterbi gives the best tags. Its
+structure: a secret begins at a run that isn't plain (8 or more characters with a digit, or a capital after a
+small letter), or at any run within REACH tokens after one that holds a credential word; it goes on only in ASCII tokens that
+touch the token before. Every other token is outside. So the best tags of the whole text are those of its
+stretches, each from a token that can begin a secret to the first that can neither begin nor continue one (tests
+compare with the whole chain). What is left out: secrets of letters only, or of less than 8 characters, or broken up
+by marks, that have no credential word near before them, and those beyond ASCII.
+
+Whole texts are looked at. The weights are trained on the driver, on lines written by a seeded generator.
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Null ids pass through,
-repeated rows are scanned each.
+repeated rows are scanned each. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_rows
+from weftline.llm.common import map_rows, slices
+from weftline.session import prepare
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,10 +41,10 @@ FEATURES = 1 << 13
 OUT, BEGIN, IN = 0, 1, 2
 TOKEN = re.compile(r"[A-Za-z0-9_+/-]+|[^\sA-Za-z0-9_+/-]")
 CAPABLE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{8})(?=[A-Za-z_+/-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9_+/-]+")
-#: Characters of text that a stretch takes before and after a token that isn't plain.
-AROUND = 48
-#: Marks that may stand inside a secret.
-INNER = set(".=~:$%")
+#: A credential word within a token, and for how many tokens after it any run may begin a secret.
+CREDENTIAL = re.compile(r"passw|passphrase|passcode|pwd|secret|token|credential|api[_-]?key|auth(?!or)|bearer|(?:private|access|encryption|signing)[_-]key|_key(?![a-z])|_pw(?![a-z])", re.I | re.A)
+REACH = 4
+_RUN = re.compile(r"[A-Za-z0-9_+/-]*")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -72,37 +77,46 @@ def file_features(text: str) -> tuple[str, ...]:
     return (f"code{min(3, int(code * 100))}", f"digits{min(3, int(digits * 20))}", f"long{min(3, len(str(n)) - 1)}")
 
 
-def features(tokens: list[str], i: int, file: tuple[str, ...]) -> list[int]:
-    """Hashed features of token i."""
+def is_mark(token: str) -> bool:
+    return len(token) == 1 and not (token.isascii() and (token.isalnum() or token in "_+/-"))
+
+
+def features(tokens: list[str], i: int, file: tuple[str, ...], glued: bool = False) -> list[int]:
+    """Hashed features of token i; they look at the four tokens before it and the one after. ``glued``: it touches the one before."""
     t = tokens[i]
-    if len(t) == 1 and not t.isalnum():
-        own = ["mark", f"mark={t}"]
+    near = [(k, tokens[i + k].lower() if 0 <= i + k < len(tokens) else "^") for k in (-4, -3, -2, -1, 1)]
+    before = [w for k, w in near if k < 0]
+    told = any(map(CREDENTIAL.search, before))
+    if is_mark(t):
+        own = ["mark", f"mark={t}", f"mark={t}&{glued}&{near[-1][1].isalnum()}"]
         able = False
     else:
         able = capable(t)
         low = t.lower()
-        own = [f"able={able}", f"shape={shape(t)}", f"len={min(12, len(t) // 4)}", f"word={low if len(low) < 20 else '-'}"]
-        if able:
-            digits = sum(c.isdigit() for c in t)
+        own = [f"able={able}", f"shape={shape(t)}", f"len={min(12, len(t) // 4)}", f"word={low if len(low) < 20 else '-'}", f"told={told}&{able}", f"told={told}&{glued}&{before[-1] if is_mark(before[-1]) else 'w'}"]
+        digits = sum(c.isdigit() for c in t)
+        if able or told:
             changes = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:]))
-            own += [f"ent={int(2 * entropy(t))}", f"alldigits={digits == len(t)}", f"hex={not set(low) - set('0123456789abcdef-')}", f"changes={min(6, changes)}", f"prefix={low[:4]}", f"upper={t.upper() == t}", f"under={'_' in t}", f"dashes={min(4, t.count('-'))}"]
-            own += [f"{f}&able" for f in file]
-    near = [(k, tokens[i + k].lower() if 0 <= i + k < len(tokens) else "^") for k in (-4, -3, -2, -1, 1)]
+            own += [f"{f}&{able}" for f in (f"ent={int(2 * entropy(t))}", f"alldigits={digits == len(t)}", f"hex={not set(low) - set('0123456789abcdef-')}", f"changes={min(6, changes)}", f"upper={t.upper() == t}", f"under={'_' in t}", f"dashes={min(4, t.count('-'))}")]
+            own += [f"prefix={low[:4]}&{len(low) > 4}"]
+            own += [f"{f}&able={able}" for f in file]
+        if told and not able:
+            own += [f"plain&{before[-1]}&{glued}&{min(4, len(t) // 4)}", f"plain&{before[-2]}|{before[-1]}", f"plain&digits={min(3, digits)}", f"plain&small={t.islower()}", f"plain&next={near[-1][1] if is_mark(near[-1][1]) else 'w'}&{glued}"]
     own += [f"{k}:{w if len(w) < 20 else '-'}&{able}" for k, w in near]
-    before = [w for k, w in near if k < 0]
     own += [f"near:{w}&{able}" for w in before if w.isalpha()]
     own.append(f"{before[-2]}|{before[-1]}&{able}")
+    own.append(f"glued={glued}&{told}&{before[-1] if is_mark(before[-1]) else shape(before[-1])}")
     return [zlib.crc32(f.encode()) % FEATURES for f in own]
 
 
-def allowed(tokens: list[str]) -> np.ndarray:
+def allowed(tokens: list[str], glued: list[bool]) -> np.ndarray:
     """Tokens x tags: which tags a token may have (0, or minus infinity)."""
     out = np.zeros((len(tokens), 3))
     for i, t in enumerate(tokens):
-        if not capable(t):
+        if is_mark(t) or not (capable(t) or any(map(CREDENTIAL.search, tokens[max(0, i - REACH) : i]))):
             out[i, BEGIN] = -np.inf
-            if not (t in INNER or len(t) >= 4 and t.isascii() and not t.isalpha() or len(t) >= 16):
-                out[i, IN] = -np.inf
+        if not (glued[i] and t.isascii()):
+            out[i, IN] = -np.inf
     return out
 
 
@@ -119,6 +133,21 @@ def _any(r: random.Random, alphabet: str, low: int, high: int) -> str:
             return s
 
 
+_PARTS = "river stone copper window yellow basket mountain silver tiger orange winter pocket candle rocket garden purple engine marble coffee dragon sunny castle monkey apple bridge falcon hammer island jungle kettle lemon meadow needle ocean pepper quartz rabbit shadow timber velvet walnut zebra correct horse battery staple kitchen table letmein welcome admin qwerty summer hunter".split()
+_MARKS = "!@#$%^&*~?"
+
+
+def _typed(r: random.Random) -> str:
+    """A password as people choose them: words, some with digits or marks."""
+    w = lambda: r.choice(_PARTS)
+    leet = lambda x: "".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "$"}.get(c, c) if r.random() < 0.5 else c for c in x)
+    mixed = string.ascii_letters + string.digits + _MARKS
+    return r.choice([
+        lambda: "-".join(w() for _ in range(r.randint(3, 5))), lambda: "".join(w() for _ in range(r.randint(2, 4))), lambda: w().title() + w().title(), lambda: leet(w()) + r.choice(_MARKS) + r.choice("xyz") + str(r.randint(0, 99)), lambda: w().title() + str(r.randint(1, 2030)) + r.choice(_MARKS),
+        lambda: r.choice(string.ascii_letters) + "".join(r.choices(mixed, k=r.randint(7, 20))), lambda: "".join(r.choices(string.ascii_uppercase, k=r.randint(10, 24))), lambda: "_".join(w() for _ in range(r.randint(2, 4))), lambda: "".join(r.choices(string.ascii_lowercase, k=r.randint(8, 20))), lambda: w() + str(r.randint(1, 9999)),
+    ])()
+
+
 def _secret(r: random.Random) -> str:
     an = string.ascii_letters + string.digits
     return r.choice([
@@ -127,6 +156,10 @@ def _secret(r: random.Random) -> str:
     ])()
 
 
+#: What stands after a credential word without being a secret.
+_NOTHING = "required optional string str none null true false here expired reset changed missing invalid must should will was and or for field form page policy manager of in the a your is not self.get os.environ get_secret() getpass() input() <hidden> ${PASSWORD} {{token}} ******** int bool garden santa box ring text type file name service getToken(user); generateKey(32) config.get('x') request.headers['x'] createToken(id, load_secret(path) readPassword() $(cat this.state.value process.env.DB <your-password> changeToken()".split()
+
+
 def _harmless(r: random.Random) -> str:
     d = string.digits
     w = lambda: r.choice(_WORDS)
@@ -144,14 +177,21 @@ def training_lines(n: int, seed: int = 6) -> list[tuple[str, list[tuple[int, int
         line, spans = "", []
         for _ in range(r.randint(1, 3)):
             line += " ".join(r.choices(_WORDS, k=r.randint(1, 6))) + " "
-            if r.random() < 0.45:
+            if r.random() < 0.25:
+                s, name, q = _typed(r), r.choice(_NAMES), r.choice(["", "", '"', "'"])
+                lead = r.choice([f"{name}={q}", f"{name}: {q}", f"{name} = {q}", f"export {name.upper()}={q}", f'"{name}": "', f"{name} := {q}", f"--{name}={q}", f"{name} -> {q}", f"user=x;{name}={q}", f"{name}:{q}"])
+                q = '"' if lead.endswith('": "') else q
+                line += lead
+                spans.append((len(line), len(line) + len(s)))
+                line += s + q + r.choice([" ", " ", "; ", ", ", "\n", "    "])
+            elif r.random() < 0.4:
                 s, name, q = _secret(r), r.choice(_NAMES), r.choice(["", "", '"', "'"])
                 lead = r.choice([f"{name}={q}", f"{name}: {q}", f"{name} = {q}", f"export {name.upper()}={q}", f'"{name}": "', f"{name} is ", f"Authorization: Bearer ", f"--{name} ", f"{name} := {q}", f"my {name} {q}"])
                 line += lead
                 spans.append((len(line), len(line) + len(s)))
                 line += s + q + " "
-            elif r.random() < 0.15:
-                line += f"{r.choice(_NAMES)} {r.choice(['is', 'was', 'of', 'and', '=', ':'])} {r.choice(_WORDS)} "
+            elif r.random() < 0.45:
+                line += f"{r.choice(['the', 'a', 'your', 'set', ''])} {r.choice(_NAMES)}{r.choice([' is ', ' was ', ' ', ' and ', '=', ': ', ' = ', ', ', '. ', 's '])}{r.choice(_NOTHING + _WORDS)} {r.choice(_WORDS + _PARTS)} "
             else:
                 line += _harmless(r) + " "
         out.append((line, spans))
@@ -162,7 +202,8 @@ def _sequences(lines):
     for line, spans in lines:
         places = [(m.start(), m.end()) for m in TOKEN.finditer(line)]
         tokens = [line[a:b] for a, b in places]
-        tags, ok = np.zeros(len(tokens), int), allowed(tokens)
+        glued = _glued(places)
+        tags, ok = np.zeros(len(tokens), int), allowed(tokens, glued)
         for lo, hi in spans:
             began = False
             for i, (a, b) in enumerate(places):
@@ -173,11 +214,15 @@ def _sequences(lines):
                     elif began:
                         break
         file = file_features(line)
-        yield [features(tokens, i, file) for i in range(len(tokens))], tags, ok
+        yield [features(tokens, i, file, glued[i]) for i in range(len(tokens))], tags, ok
+
+
+def _glued(places: list[tuple[int, int]]) -> list[bool]:
+    return [i > 0 and places[i - 1][1] == a for i, (a, _) in enumerate(places)]
 
 
 @lru_cache(1)
-def trained(lines: int = 4000, rounds: int = 6, batch: int = 64, rate: float = 0.15, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def trained(lines: int = 5000, rounds: int = 6, batch: int = 64, rate: float = 0.15, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x tags, tag x next tag) by AdaGrad on the log-likelihood, batches padded and vectorised."""
     data = sorted(_sequences(training_lines(lines)), key=lambda x: len(x[1]))
     r = np.random.default_rng(6)
@@ -230,63 +275,90 @@ def trained(lines: int = 4000, rounds: int = 6, batch: int = 64, rate: float = 0
     return w, move + move_ok
 
 
-def viterbi(unary: np.ndarray, move: np.ndarray) -> np.ndarray:
-    best, back = unary[0] + np.array([0, 0, -1e9]), np.zeros(unary.shape, int)
+def viterbi(unary: np.ndarray, move: np.ndarray, first: bool = True, last: bool = True) -> np.ndarray:
+    """The best tags; unless it is the ``first`` or ``last`` part of a chain, the token before or after is outside."""
+    best, back = unary[0] + (np.array([0, 0, -1e9]) if first else move[OUT]), np.zeros(unary.shape, int)
     for i in range(1, len(unary)):
         x = best[:, None] + move
         back[i] = x.argmax(axis=0)
         best = x.max(axis=0) + unary[i]
     tags = np.zeros(len(unary), int)
-    tags[-1] = best.argmax()
+    tags[-1] = (best if last else best + move[:, OUT]).argmax()
     for i in range(len(unary) - 1, 0, -1):
         tags[i - 1] = back[i, tags[i]]
     return tags
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around tokens that aren't plain, cut at white space or after AROUND characters."""
-    out: list[list[int]] = []
-    for m in CAPABLE.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    for s in out:  # no token is cut
-        while s[0] > 0 and not text[s[0] - 1].isspace() and TOKEN.fullmatch(text[s[0] - 1 : s[0] + 1]):
-            s[0] -= 1
-        while s[1] < len(text) and TOKEN.fullmatch(text[s[1] - 1 : s[1] + 1]):
-            s[1] += 1
-    return [(a, b) for a, b in out]
+def beginnings(text: str) -> list[int]:
+    """Where the runs begin that a secret may begin with, in order."""
+    out = {m.start() for m in CAPABLE.finditer(text)}
+    done = 0
+    for m in CREDENTIAL.finditer(text):
+        if m.end() > done:
+            done = _RUN.match(text, m.end()).end()
+            for _, near in zip(range(REACH), TOKEN.finditer(text, done)):
+                if not is_mark(near[0]):
+                    out.add(near.start())
+    return sorted(out)
+
+
+def _before(text: str, at: int, n: int = 4) -> list[tuple[int, int]]:
+    """The last ``n`` tokens that end at ``at`` or before."""
+    reach = 64
+    while True:
+        lo = max(0, at - reach)
+        found = [(m.start(), m.end()) for m in TOKEN.finditer(text, lo, at)]
+        if lo == 0 or len(found) > n:  # the first may be cut
+            return found[-n:]
+        reach *= 4
 
 
 def crf_spans(text: str, weights: tuple[np.ndarray, np.ndarray], taken: list[tuple[str, int, int]] = ()) -> list[tuple[str, int, int]]:
     """Secrets by the field that overlap none of the spans in ``taken``."""
     w, move = weights
-    out, file, t = [], None, 0
+    out, file, t, done = [], None, 0, 0
     taken = sorted((a, b) for _, a, b in taken)
-    for lo, hi in stretches(text):
+    starts = beginnings(text)
+    can = set(starts)
+    for lo in starts:
+        if lo < done:
+            continue
         file = file or file_features(text)
-        places = [(lo + m.start(), lo + m.end()) for m in TOKEN.finditer(text[lo:hi])]
-        tokens = [text[a:b] for a, b in places]
-        unary = np.array([w[features(tokens, i, file)].sum(axis=0) for i in range(len(tokens))]) + allowed(tokens)
-        tags = viterbi(unary, move)
-        i = 0
-        while i < len(tags):
-            if tags[i] == BEGIN:
-                j = i + 1
-                while j < len(tags) and tags[j] == IN and places[j][0] == places[j - 1][1]:
-                    j += 1
-                while j > i + 1 and not tokens[j - 1][0].isalnum() and tokens[j - 1] != "=":
-                    j -= 1
-                a, b = places[i][0], places[j - 1][1]
-                while t < len(taken) and taken[t][1] <= a:
-                    t += 1
-                if t == len(taken) or taken[t][0] >= b:
-                    out.append(("crf", a, b))
-                i = j
-            else:
-                i += 1
+        places = _before(text, lo)
+        known, more = len(places), False
+        for m in TOKEN.finditer(text, lo):
+            places.append(m.span())
+            if len(places) > known + 1 and m.start() not in can and not (m.start() == places[-2][1] and m[0].isascii()):
+                more = True
+                break
+        tokens, glued = [text[a:b] for a, b in places], _glued(places)
+        end = len(places) - more
+        unary = np.array([w[features(tokens, i, file, glued[i])].sum(axis=0) for i in range(known, end)]) + allowed(tokens, glued)[known:end]
+        tags = viterbi(unary, move, known == 0, not more)
+        done = places[end - 1][1]
+        for a, b in secret_runs(tags, [places[i] for i in range(known, end)], tokens[known:end]):
+            while t < len(taken) and taken[t][1] <= a:
+                t += 1
+            if t == len(taken) or taken[t][0] >= b:
+                out.append(("crf", a, b))
+    return out
+
+
+def secret_runs(tags, places: list[tuple[int, int]], tokens: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of each begin with its insides; marks at the end, but for ``=`` and password marks, are cut off."""
+    out, i = [], 0
+    while i < len(tags):
+        if tags[i] == BEGIN:
+            j = i + 1
+            while j < len(tags) and tags[j] == IN:
+                j += 1
+            end = j
+            while end > i + 1 and is_mark(tokens[end - 1]) and tokens[end - 1] not in "=" + _MARKS:
+                end -= 1
+            out.append((places[i][0], places[end - 1][1]))
+            i = j
+        else:
+            i += 1
     return out
 
 
@@ -324,22 +396,21 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", size: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; null texts stay null. ``size`` is set to the new length."""
+    """``docs`` with every span replaced by ``mark``; null texts stay null. ``size`` is set to the new length. Texts pass in slices of bounded size."""
     weights = trained()
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            out = []
-            for t in batch.column(at).to_pylist():
-                for _, a, b in reversed(_merged(spans(t, weights)[1])):
-                    t = t[:a] + mark + t[b:]
-                out.append(t)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-
-    from weftline.session import prepare
+            for part in slices(batch, at):
+                out = []
+                for t in part.column(at).to_pylist():
+                    kept, end = [], 0
+                    for _, a, b in _merged(spans(t, weights)[1]):
+                        kept += [t[end:a], mark]
+                        end = b
+                    out.append("".join(kept) + t[end:] if kept else t)
+                yield part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type))
 
     prepare(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
