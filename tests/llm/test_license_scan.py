@@ -19,16 +19,20 @@ def brute(t):
     return len(words), hits
 
 
+def brute_resolved(found):
+    """found: (start, end, priority, label)."""
+    left, kept = list(found), []
+    while left:
+        outer = [d for d in left if not any(o is not d and (o[0] <= d[0] and o[1] >= d[1]) and ((o[0], o[1]) != (d[0], d[1]) or o[2] < d[2]) for o in left)]
+        best = min(outer, key=lambda d: (d[2], d[0]))
+        kept.append(best)
+        left = [o for o in left if o[0] >= best[1] or o[1] <= best[0]]
+    return sorted(kept)
+
+
 def brute_detections(t):
-    low = t.lower()
-    found = [(m.start(), -m.end(), r["priority"], r["label"]) for r in rules() if r["keyword"] in low for m in re.finditer(r["regex"], t, re.A)]
-    kept = []
-    for s, e, p, label in sorted(found):
-        if not kept or s >= kept[-1][1]:
-            kept.append((s, -e, p, label))
-        elif -e > kept[-1][1] and p < kept[-1][2]:
-            kept[-1] = (s, -e, p, label)
-    return kept
+    """All rules over the text, whatever their keywords say."""
+    return brute_resolved([(m.start(), m.end(), r["priority"], r["label"]) for r in rules() for m in re.finditer(r["regex"], t, re.A)])
 
 
 def test_against_brute_force(docs, words):
@@ -60,7 +64,40 @@ def test_suppression(spark):
     rows = [([(0, 10, 5, "a", 0.5), (2, 8, 1, "b", 0.5), (9, 12, 7, "c", 0.5), (9, 14, 2, "d", 0.5), (20, 21, 9, "e", 0.1), (20, 21, 8, "f", 0.1)],), ([],)]
     df = spark.createDataFrame(rows, f"d array<{x._DETECTION}>")
     got = [[r["label"] for r in row[0]] for row in df.select(x.resolved("d")).collect()]
-    assert got == [["d", "f"], []]
+    assert got == [["b", "d", "f"], []]
+
+
+def test_suppression_against_brute_force(spark):
+    import random
+
+    r, rows = random.Random(3), []
+    for i in range(300):
+        starts = [r.randint(0, 25) for _ in range(r.randint(0, 9))]
+        rows.append((i, [(a, a + r.randint(1, 12), k * 7 % 11, f"l{k}", 0.5) for k, a in enumerate(starts)]))
+    out = spark.createDataFrame(rows, f"i int, d array<{x._DETECTION}>").select("i", x.resolved("d").alias("r")).collect()
+    for q in out:
+        assert [(d.start, d.end, d.priority, d.label) for d in q.r] == brute_resolved([d[:4] for d in rows[q.i][1]])
+
+
+def test_every_rule_fires_on_its_own_texts(docs):
+    """Through the keywords, against all rules without them."""
+    from re import _parser
+
+    texts = [(r, f"x {t} x") for r in rules() for t in examples(_parser.parse(r["regex"], re.A))[:2] if re.search(r["regex"], f"x {t} x", re.A)]
+    assert {r["priority"] for r, _ in texts} == {r["priority"] for r in rules()}
+    for r, t in texts:
+        assert r["keyword"] in t.lower(), (r, t)
+    some = texts[::9] + [(None, t) for t in ("You may not use this file except in compliance with the License.", "see http://scripts.sil.org/OFL", "do what the f*** you want to public license")]
+    found = {q.doc_id: q.detections for q in x.scan(docs([(i, t) for i, (_, t) in enumerate(some)])).collect()}
+    for i, (_, t) in enumerate(some):
+        assert [(d.start, d.end, d.priority, d.label) for d in found[i]] == brute_detections(t) and found[i], t
+
+
+def test_rules_written_by_hand():
+    from weftline.llm import license_rules as lr
+
+    own = [x[2] for t in (lr.NAMES, lr.TEXTS, lr.SENTENCES) for x in lr._lines(t)]
+    assert len(set(own)) >= 240
 
 
 def test_no_python_in_the_plan(docs):

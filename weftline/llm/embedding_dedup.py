@@ -6,12 +6,15 @@ one, are candidates, and the cosine in double precision decides. A pair is taken
 so links can be counted without collecting or deduplicating pairs: a list (or a pair of its blocks of
 about BLOCK vectors, if it's long) returns per vector the number of links and a spanning forest.
 
-The number of pivots grows with the vectors, so that lists stay near LIST long, up to MOST_PIVOTS; they
-are drawn from a sample of the vectors (SAMPLE at most, by a hash of the id), dimension by dimension, so
-that no two of them have a cosine of APART or more, and the rest are random directions. A group of near copies thus has one
-pivot or a few, whatever its size: its members' nearest pivots aren't ranked by the copies' noise alone,
-and those nearest to the same pivot are all compared. Every vector is indexed. Exact copies are indexed once and counted. At cosine 0.9 in 64 dimensions, two vectors share two of their eight
-pivots in 98.8 % of cases with 1,024 pivots, and more often with fewer or when closer.
+The number of pivots grows with the vectors: in proportion until lists would be LIST long, from then on as PIVOTS_ROOT
+times the square root, with no bound beside that, so that neither the lists nor the pivots (which the driver holds)
+grow as fast as the vectors; with more pivots, a vector names more of them (places()), since the chance to share
+two of eight falls. Pivots are drawn from a sample of the vectors (at most SAMPLE, or four for each pivot, by a hash of
+the id), dimension by dimension, so that no two of them have a cosine of APART or more, and the rest are random
+directions. A group of near copies thus has one pivot or a few, whatever its size: its members' nearest pivots aren't
+ranked by the copies' noise alone, and those nearest to the same pivot are all compared. Every vector is indexed. Exact
+copies (by 128 bits of hashes) are indexed once and counted. The links inside one group are counted
+pair by pair, so a group's cost is the square of its different vectors, spread over pairs of blocks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link
 with nothing; vectors of different lengths don't link. Repeated rows are vectors of their own.
@@ -24,12 +27,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_rows
+from weftline.llm.common import join_hot, map_rows
 from weftline.llm.graph import components
 from weftline.session import checkpoint
 
 LEAST, K, SHARED, APART = 0.9, 8, 2, 0.7
-LIST, BLOCK, SAMPLE, MOST_PIVOTS = 1000, 2048, 20_000, 4096
+LIST, BLOCK, SAMPLE, PIVOTS_ROOT = 1000, 2048, 20_000, 4.0
+
+
+def pivot_count(n: int) -> int:
+    """Pivots for ``n`` different vectors."""
+    return max(16, int(min(n * K / LIST, PIVOTS_ROOT * n**0.5)))
+
+
+def places(pivots: int) -> int:
+    """How many of its nearest pivots a vector names: K up to 1,024 pivots, two more for each further factor of four."""
+    k, most = K, 1024
+    while pivots > most:
+        k, most = k + 2, most * 4
+    return k
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -68,9 +84,9 @@ class Pivots:
         return self.made[dim]
 
     def nearest(self, v: np.ndarray) -> np.ndarray:
-        """Per unit vector, its K nearest pivots in order (ties: the lower)."""
+        """Per unit vector, its places() nearest pivots in order (ties: the lower)."""
         c = np.round(v @ self.of(v.shape[1]).T, 12)
-        k = min(K, c.shape[1])
+        k = min(places(self.n), c.shape[1])
         near = np.argpartition(-c, k - 1, axis=1)[:, :k]
         return np.take_along_axis(near, np.lexsort((near, -np.take_along_axis(c, near, axis=1))), axis=1).astype(np.int32)
 
@@ -147,23 +163,22 @@ def _kept(links: list[np.ndarray], n: int) -> np.ndarray:
 
 def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id`` for every row of ``vectors``."""
-    spark = vectors.sparkSession
     every = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.coalesce(F.col("vec_id").isNotNull() & ~odd & F.exists("v", lambda x: x != 0), F.lit(False))
-    usable = every.where(ok)
-    reps = checkpoint(usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")))
+    usable = every.where(ok).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit("second"), "v"))
+    reps = checkpoint(usable.groupBy("h1", "h2", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")))
     n = reps.count()
-    want = int(min(MOST_PIVOTS, max(16, n * K // LIST)))
+    want = pivot_count(n)
     drawn: dict[int, list] = {}
-    for r in reps.select("id", "v").orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(min(SAMPLE, 4 * want)).toLocalIterator():
+    for r in reps.select("id", "v").orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(max(min(SAMPLE, 4 * want), want)).toLocalIterator():
         drawn.setdefault(len(r.v), []).append(np.array(r.v, np.float64))
     pivots = Pivots({d: thinned(unit(np.array(v)), want) for d, v in drawn.items()}, want)
     index = checkpoint(permutations(reps, pivots))
     # sharing SHARED pivots, two vectors share one of the K - SHARED + 1 least of each; the nearest is posted always
-    least = F.slice(F.array_sort("near"), 1, K - SHARED + 1)
+    least = F.slice(F.array_sort("near"), 1, F.greatest(F.size("near") - SHARED + 1, F.lit(1)))
     posted = index.withColumn("pivot", F.explode(F.array_union(least, F.slice("near", 1, 1))))
-    # a number of blocks per list: MOST_PIVOTS rows a dimension
+    # a number of blocks per list: as many rows as there are pivots, a dimension
     blocks = posted.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     parts = posted.join(blocks, ["dim", "pivot"]).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -171,9 +186,10 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     found = checkpoint(parts.groupBy("dim", "pivot", "lo", "hi").applyInPandas(_block, "id long, n long, root long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select("id", "root"), "id", "root")
-    by_vector = reps.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    del spark
-    known = usable.join(by_vector, "v").select("vec_id", "n_links", "component_id")
+    by_vector = reps.select("h1", "h2", "id", "mult").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    by_vector = by_vector.select("h1", "h2", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    # vectors stay where they are: ids and hashes meet; a vector with very many copies doesn't go to one task
+    known = join_hot(usable.select("vec_id", "h1", "h2"), checkpoint(by_vector), ["h1", "h2"], "mult").select("vec_id", "n_links", "component_id")
     rest = every.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(rest)
 

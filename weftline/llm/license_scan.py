@@ -2,8 +2,8 @@
 
 One regex gates a document; in those that pass, the rules' keywords are looked for, and only the rules
 whose keyword is there are run over the whole text. Where detections overlap, one that lies inside
-another is suppressed, and of two that overlap otherwise the rule with the higher priority stays. All of
-it is work within a row: no shuffle, and nothing kept across rows.
+another is suppressed, and of two that overlap otherwise the rule with the higher priority stays; only
+detections that stay suppress others (resolved()). All of it is work within a row: no shuffle, and nothing kept across rows.
 
 Fixed phrases are found besides, by words: runs of characters other than \\x00-\\x2F \\x3A-\\x60 \\x7B-\\x7F
 after A-Z were lower-cased. Null and empty texts have no words and no detections. Null ids pass
@@ -81,20 +81,44 @@ def detections(text):
 
 
 def resolved(found):
-    """Detections left after suppression, by start: those inside another go, then of two that overlap the lower rule."""
+    """Detections left after suppression, by start.
+
+    Again and again, of the detections that lie inside no other one left, that of the first rule is kept (ties: the first
+    place), and all that it overlaps go. So whatever goes overlaps one that stays, and one that only a dropped detection hid is
+    back. Done by groups of detections that overlap in a row.
+    """
     one = lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("low"), d["priority"].alias("priority"), d["end"].alias("end"), d["label"].alias("label"), d["weight"].alias("weight"))
-    ordered = F.array_sort(F.transform(found, one))
-    empty = F.array().cast("array<struct<start:int,low:int,priority:int,end:int,label:string,weight:double>>")
-
-    def step(kept, d):
-        last = F.try_element_at(kept, F.lit(-1))
-        return (
-            F.when(last.isNull() | (d["start"] >= last["end"]), F.concat(kept, F.array(d)))
-            .when((d["end"] <= last["end"]) | (d["priority"] > last["priority"]), kept)
-            .otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(d)))
-        )
-
-    return F.transform(F.aggregate(ordered, empty, step), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight")))
+    kind = "struct<start:int,low:int,priority:int,end:int,label:string,weight:double>"
+    none, lists = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    start = F.struct(lists.alias("groups"), none.alias("now"), F.lit(0).alias("end"))
+
+    def group(acc, d):
+        joins = (F.size(acc["now"]) == 0) | (d["start"] < acc["end"])
+        return F.struct(
+            F.when(joins, acc["groups"]).otherwise(F.concat(acc["groups"], F.array(acc["now"]))).alias("groups"),
+            F.when(joins, F.concat(acc["now"], F.array(d))).otherwise(F.array(d)).alias("now"),
+            F.when(joins, F.greatest(acc["end"], d["end"])).otherwise(d["end"]).alias("end"),
+        )
+
+    def settle(members):
+        def inside(d, o):
+            same = (o["start"] == d["start"]) & (o["end"] == d["end"])
+            return F.when(same, o["priority"] < d["priority"]).otherwise((o["start"] <= d["start"]) & (o["end"] >= d["end"]))
+
+        def step(acc, _):
+            outer = F.filter(acc["left"], lambda d: ~F.exists(acc["left"], lambda o: inside(d, o)))
+            best = F.array_min(F.transform(outer, lambda d: F.struct(d["priority"].alias("p"), d["start"].alias("s"), d.alias("d"))))["d"]
+            kept = F.struct(
+                F.filter(acc["left"], lambda o: (o["start"] >= best["end"]) | (o["end"] <= best["start"])).alias("left"),
+                F.concat(acc["kept"], F.array(best)).alias("kept"),
+            )
+            return F.when(F.size(acc["left"]) == 0, acc).otherwise(kept)
+
+        return F.when(F.size(members) < 2, members).otherwise(F.aggregate(members, F.struct(members.alias("left"), none.alias("kept")), step, lambda acc: acc["kept"]))
+
+    grouped = F.aggregate(F.array_sort(F.transform(found, one)), start, group, lambda acc: F.concat(acc["groups"], F.array(acc["now"])))
+    kept = F.array_sort(F.flatten(F.transform(grouped, settle)))
+    return F.transform(kept, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight")))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
