@@ -94,3 +94,17 @@ def test_thinned_pivots():
     c = kept @ kept.T - np.eye(len(kept))
     assert len(kept) == 100 and c.max() < x.APART
     assert len(x.thinned(v[:0], 5)) == 0 and len(x.thinned(v[:9], 1)) == 1
+
+
+def test_recall_holds_as_pivots_grow():
+    r = np.random.default_rng(2)
+    assert [x.places(p) for p in (16, 1024, 1025, 4096, 16_384, 65_536)] == [8, 8, 10, 10, 12, 14]
+    assert x.pivot_count(10) == 16 and x.pivot_count(100_000) == 800 and x.pivot_count(10**8) == 40_000
+    for pivots in (1024, 4096, 16_384):
+        index = x.Pivots({}, pivots)
+        a = x.unit(r.normal(size=(1500, 64)))
+        o = r.normal(size=a.shape)
+        o = x.unit(o - (o * a).sum(axis=1, keepdims=True) * a)
+        near, other = index.nearest(a), index.nearest(0.9 * a + np.sqrt(1 - 0.81) * o)
+        found = [len(np.intersect1d(p, q)) >= x.SHARED or p[0] == q[0] for p, q in zip(near, other)]
+        assert np.mean(found) > 0.97, pivots

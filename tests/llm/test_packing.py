@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import packing
 
@@ -50,9 +51,9 @@ def test_neighbours_against_brute_force():
         df[np.unique(t)] += 1
     idf = np.log1p((40 - df + 0.5) / (df + 0.5))
     index = packing.Index(tails, idf, 80.0)
-    terms = sorted(set(tails[3].tolist()), key=lambda t: (-idf[t], t))[: packing.QUERY_TERMS]
+    terms = sorted(set(tails[3].tolist()))
     unused = np.ones(40, bool)
-    unused[3] = False
+    unused[[3, *range(5, 30)]] = False
     score = {}
     for i in range(40):
         if unused[i]:
@@ -65,6 +66,45 @@ def test_neighbours_against_brute_force():
     assert all(a >= b - 1e-4 for a, b in zip(ranked, ranked[1:]))
 
 
+def test_windows_against_a_plain_greedy_rule():
+    """Every seed's window: all neighbours by score that fit whole, then the best left is cut."""
+    r = np.random.default_rng(6)
+    tails = [r.zipf(1.3, r.integers(1, 120)).clip(0, 999).astype("<u2") for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=1 << 16)
+    idf = np.log1p((60 - df + 0.5) / (df + 0.5))
+    start, out, window = [0] * 60, [], 256
+    full = [i for i, t in enumerate(tails) if len(t) >= window]
+    assert not full
+    while any(start[i] < len(t) for i, t in enumerate(tails)):
+        seed = next(i for i, t in enumerate(tails) if start[i] < len(t))
+        row = [(seed, start[seed], len(tails[seed]) - start[seed])]
+        start[seed] = len(tails[seed])
+        score = lambda i: sum(idf[t] * (n := int((tails[i] == t).sum())) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(tails[i]) / 60.0)) for t in set(tails[seed].tolist()) & set(tails[i].tolist()))
+        near = sorted((i for i in range(60) if start[i] < len(tails[i]) and score(i)), key=lambda i: (-round(score(i), 9), i))
+        for i in near:
+            if len(tails[i]) - start[i] <= window - sum(n for *_, n in row):
+                row.append((i, start[i], len(tails[i]) - start[i]))
+                start[i] = len(tails[i])
+        for i in near + list(range(seed, 60)):
+            n = min(window - sum(n for *_, n in row), len(tails[i]) - start[i])
+            if n:
+                row.append((i, start[i], n))
+                start[i] += n
+        out.append(row)
+    got = packing.pack(tails, idf, 60.0, window)
+    assert len(out) > 10 and got[: len(out) - 1] == out[:-1]
+
+
+def test_topics_lie_together_and_large_ones_are_split(spark):
+    rows = [(i, i, 100, 7 if i % 3 else 1000 + i, b"") for i in range(3000)]
+    tokens = spark.createDataFrame(rows, "doc_id long, row long, n long, topic int, ids binary")
+    spread, n, total = packing.sharded(tokens, 10_000)
+    shards = {r.shard: r.n for r in spread.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    assert (n, total) == (3000, 300_000) and len(shards) == 30 and max(shards.values()) < 15_000
+    seven = {r.shard for r in spread.where("topic = 7").select("shard").distinct().collect()}
+    assert len(seven) == 20 and packing.topic(np.array([5, 900, 900, 5, 5, 1])) == 900
+
+
 def test_like_goes_with_like():
     """Two topics, interleaved: windows hold one topic."""
     r = np.random.default_rng(3)

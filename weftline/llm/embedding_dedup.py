@@ -16,6 +16,9 @@ ranked by the copies' noise alone, and those nearest to the same pivot are all c
 copies (by 128 bits of hashes) are indexed once and counted. The links inside one group are counted
 pair by pair, so a group's cost is the square of its different vectors, spread over pairs of blocks.
 
+Of pairs at cosine 0.9 in 64 dimensions, with random pivots, 99.0 % are candidates with 1,024 pivots and 8 named, 99.0 %
+with 4,096 and 10, 99.2 % with 16,384 and 12, 98.6 % with 65,536 and 14; more when closer (tests measure).
+
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link
 with nothing; vectors of different lengths don't link. Repeated rows are vectors of their own.
 """

@@ -1,15 +1,19 @@
 """Packing by lexical retrieval.
 
 Documents become token ids; full windows of a long document stand alone, and the tails are spread
-over shards by hash. Each shard holds a BM25 inverted index of its tails (terms are token ids,
+over shards. Each shard holds a BM25 inverted index of its tails (terms are token ids,
 document frequencies are those of all documents): the first unused tail is a seed, the index returns
-its unused neighbours, best first, and they fill the seed's window greedily. The neighbour that
-overflows is cut there and its rest goes back to the pool, so every window is full; what is left of a
+its unused neighbours by all of the seed's terms, best first, and they fill the seed's window greedily: each that fits whole
+is taken, then the best that is left is cut, and its rest goes back to the pool. So every window is full; what is left of a
 shard at last is cut into sequences whose lengths are powers of two, which need no padding.
 
-A shard has about SHARD_TOKENS tokens, so a task's memory doesn't grow with the corpus, and rows are
-spread by id and position, so repeated ids don't meet in one. Null texts count as empty: the end
-token alone. Null ids pass through, and repeated rows are packed each. No documents give no pieces.
+A shard has about SHARD_TOKENS tokens, so a task's memory doesn't grow with the corpus. Related documents
+share shards: a document's topic is the token that it repeats most for one of its rarity (topic()), topics lie on a line
+one after another, each as long as its tokens, and the line is cut into shards. A topic that is larger than a shard is thus
+split, by a hash of id and position, and small ones lie together.
+
+Null texts count as empty: the end token alone. Null ids pass through, and repeated rows are packed each. No documents give no
+pieces.
 """
 
 from __future__ import annotations
@@ -24,15 +28,15 @@ from pyspark.sql import functions as F
 from weftline.llm.common import map_rows
 from weftline.session import written
 
-WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 3_000_000
-#: BM25's constants, the seed's terms that are looked up (rarest first), and the neighbours tried whole before one is cut.
-K1, B, QUERY_TERMS, WHOLE = 1.2, 0.75, 32, 8
+WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 1_000_000
+#: BM25's constants.
+K1, B = 1.2, 0.75
 
 _loaded: dict = {}
 
 
 class Encoder:
-    """Token ids of texts by the tokenizers file, little-endian uint16.
+    """Token ids of texts by the tokenizers file, little-endian: uint16, or uint32 for a vocabulary of more than 65,536 ids.
 
     The same vocabulary's rank file gives the same ids faster; texts with the special token's string
     go through the tokenizers library itself.
@@ -41,7 +45,9 @@ class Encoder:
     SPECIAL = "<|endoftext|>"
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        self.path, self.slow, self.fast = path, None, None
+        self.path, self.slow, self.fast, self.dtype = path, None, None, "<u2"
+        if not ranks and self.tokenizer().get_vocab_size() > 1 << 16:
+            self.dtype = "<u4"
         if ranks:
             import tiktoken
 
@@ -49,19 +55,22 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_to_numpy
 
-    def exact(self, text: str) -> np.ndarray:
+    def tokenizer(self):
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u2")
+        return self.slow
+
+    def exact(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer().encode(text, add_special_tokens=False).ids, self.dtype)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if self.fast is None or self.SPECIAL in text:
             return self.exact(text).tobytes()
-        return self.fast(text, disallowed_special=()).astype("<u2").tobytes()
+        return self.fast(text, disallowed_special=()).astype(self.dtype).tobytes()
 
 
 def encoder(path: str | None = None) -> Encoder:
@@ -75,42 +84,53 @@ def encoder(path: str | None = None) -> Encoder:
     return _loaded[path]
 
 
+def topic(ids: np.ndarray) -> int:
+    """The token that tells most of what ids are about: repeated, and rare (a tokenizer's higher ids are merges of rarer strings); ties: the least."""
+    t, n = np.unique(ids, return_counts=True)
+    return int(t[np.argmax(n / (n + K1) * np.log(2.0 + t))])
+
+
 def encoded(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
-    """``doc_id``, ``row`` (its place in its task), ``n`` and ``ids`` (uint16, with END_ID) of every row, as a written table."""
+    """``doc_id``, ``row`` (its place in its task), ``n``, ``topic`` and ``ids`` (Encoder's, with END_ID) of every row, as a written table."""
 
     def run(lists):
         encode, row = encoder(tokenizer), 0
-        end = np.array([END_ID], "<u2").tobytes()
+        end = np.array([END_ID], encode.dtype).tobytes()
         for rows in lists:
             out = []
             for r in rows:
                 ids = encode(r[1] or "") + end
-                out.append((r[0], row, len(ids) // 2, ids))
+                own = np.frombuffer(ids, encode.dtype)
+                out.append((r[0], row, len(own), topic(own), ids))
                 row += 1
             yield out
 
-    return written(map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, row long, n long, ids binary"), "token-ids")
+    return written(map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, row long, n long, topic int, ids binary"), "token-ids")
 
 
-def frequencies(tokens: DataFrame) -> np.ndarray:
-    """In how many rows each token id occurs; 65,536 numbers at most, whatever the corpus."""
+def frequencies(tokens: DataFrame, dtype: str = "<u2") -> np.ndarray:
+    """In how many rows each token id occurs; as many numbers as the vocabulary has, whatever the corpus."""
 
     def run(lists):
         df = np.zeros(1 << 16, np.int64)
         for rows in lists:
             for r in rows:
-                df[np.unique(np.frombuffer(r[1], "<u2"))] += 1
+                ids = np.unique(np.frombuffer(r[1], dtype))
+                if ids[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
+                df[ids] += 1
         at = np.flatnonzero(df)
         yield list(zip(at.tolist(), df[at].tolist()))
 
-    out = np.zeros(1 << 16, np.int64)
-    for r in map_rows(tokens.select("n", "ids"), run, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
+    found = map_rows(tokens.select("n", "ids"), run, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()
+    out = np.zeros(max([1 << 16, *(r.id + 1 for r in found)]), np.int64)
+    for r in found:
         out[r.id] = r.df
     return out
 
 
 class Index:
-    """BM25 over the tails of one shard."""
+    """BM25 over the tails of one shard: postings (tail, weight) by term; those of used tails go when half are used."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
         term, doc, weight, self.query = [], [], [], []
@@ -118,17 +138,25 @@ class Index:
             t, n = np.unique(ids, return_counts=True)
             term.append(t)
             doc.append(np.full(len(t), i, np.int32))
-            weight.append((idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
-            self.query.append(t[np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]])
-        term = np.concatenate(term)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = np.concatenate(doc)[order], np.concatenate(weight)[order]
-        self.at = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-        self.n = len(tails)
+            weight.append(idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean)))
+        self.query, self.n, self.size = term, len(tails), len(idf)
+        every = np.concatenate(term)
+        order = np.argsort(every, kind="stable")
+        self._set(every[order], np.concatenate(doc)[order], np.concatenate(weight)[order])
+        self.indexed = self.n
+
+    def _set(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        self.term, self.doc, self.weight = term, doc, weight
+        self.at = np.searchsorted(term, np.arange(self.size + 1)).tolist()
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused tails that share a looked-up term with the seed, best first (ties: the earlier)."""
-        spans = [slice(self.at[t], self.at[int(t) + 1]) for t in self.query[seed]]
+        """Unused tails that share a term with the seed, best first (ties: the earlier)."""
+        left = int(unused.sum())
+        if 2 * left < self.indexed:
+            on = unused[self.doc]
+            self._set(self.term[on], self.doc[on], self.weight[on])
+            self.indexed = left
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.query[seed].tolist()]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
@@ -142,8 +170,8 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
     if not tails:
         return out
     index = Index([docs[i][a:] for i, a in tails], idf, mean)
-    start = [a for _, a in tails]  # moves as a tail is cut
-    end = [len(docs[i]) for i, _ in tails]
+    start = np.array([a for _, a in tails])  # moves as a tail is cut
+    end = np.array([len(docs[i]) for i, _ in tails])
     unused, first = np.ones(len(tails), bool), 0
     while True:
         while first < len(tails) and not unused[first]:
@@ -154,20 +182,22 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
 
         def put(t: int, n: int):
             nonlocal room
-            row.append((tails[t][0], start[t], n))
+            row.append((tails[t][0], int(start[t]), n))
             start[t] += n
             room -= n
             unused[t] = start[t] < end[t]
 
-        put(first, min(room, end[first] - start[first]))
-        near = index.neighbours(first, unused) if room else ()
-        for t in near[:WHOLE]:
-            if end[t] - start[t] <= room:
-                put(t, end[t] - start[t])
-        rest = (t for part in (near, range(first, len(tails))) for t in part)
+        put(first, min(room, int(end[first] - start[first])))
+        near = index.neighbours(first, unused) if room else np.zeros(0, int)
+        sizes, at = end[near] - start[near], 0
+        while room and (whole := np.flatnonzero(sizes[at:] <= room)[:1]).size:  # the next best that fits
+            at += int(whole[0])
+            put(int(near[at]), int(sizes[at]))
+            at += 1
+        rest = (t for part in (near.tolist(), range(first, len(tails))) for t in part)
         while room and (t := next(rest, None)) is not None:
             if unused[t]:
-                put(t, min(room, end[t] - start[t]))
+                put(t, min(room, int(end[t] - start[t])))
         while room and len(row) and room < window:  # the shard's last: powers of two
             size = 1 << (window - room).bit_length() - 1
             part, left = [], size
@@ -184,18 +214,29 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
     return out
 
 
+def sharded(tokens: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int, int]:
+    """``tokens`` with a ``shard``, and how many rows and tokens there are. One number a topic comes to the driver: a vocabulary at most."""
+    sizes = tokens.groupBy("topic").agg(F.sum("n").alias("size"), F.count("*").alias("rows")).orderBy("topic").collect()
+    line, at = [], 0
+    for r in sizes:
+        line.append((r.topic, at, r["size"]))
+        at += r["size"]
+    places = F.broadcast(tokens.sparkSession.createDataFrame(line, "topic int, begin long, size long"))
+    place = F.col("begin") + F.pmod(F.xxhash64("doc_id", "row", "n"), F.col("size"))
+    return tokens.join(places, "topic").withColumn("shard", F.floor(place / shard_tokens).cast("long")).drop("begin", "size"), sum(r["rows"] for r in sizes), at
+
+
 def packed(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, tokenizer: str | None = None) -> DataFrame:
     """Pieces: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (unsigned 32-bit, little-endian)."""
     tokens = encoded(docs, text, key, tokenizer)
-    n, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    df = frequencies(tokens)
+    spread, n, total = sharded(tokens, shard_tokens)
+    dtype = encoder(tokenizer).dtype
+    df = frequencies(tokens, dtype)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shards = max(1, -(-total // shard_tokens))
-    spread = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "n"), F.lit(shards)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "row", "ids"], na_position="first")
-        ids = [np.frombuffer(x, "<u2") for x in rows["ids"]]
+        rows = rows.sort_values(["topic", "doc_id", "row", "ids"], na_position="first")
+        ids = [np.frombuffer(x, dtype) for x in rows["ids"]]
         names, base = rows["doc_id"].tolist(), int(rows["shard"].iloc[0]) << 32
         out = []
         for s, sequence in enumerate(pack(ids, idf, max(1.0, min(window, total / max(n, 1))), window)):
