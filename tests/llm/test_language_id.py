@@ -44,3 +44,50 @@ def test_bundles_are_the_sum_of_bound_letters():
     s = [0, *language_id.symbols("ab c"), 0]
     want = sum(np.roll(v[s[i]], 0) * np.roll(v[s[i + 1]], 1) * np.roll(v[s[i + 2]], 2) for i in range(len(s) - 2))
     assert (language_id.bundles(["ab c"])[0] == want).all()
+
+
+def test_predictions_against_brute_force(docs):
+    """Letters bound and bundled one n-gram at a time, cosines by the formula."""
+    import numpy as np
+
+    v = language_id.letter_vectors().astype(np.int64)
+
+    def bundle(t):
+        s = [0]
+        for c in language_id.symbols(t).tolist() + [0]:
+            if c or s[-1]:
+                s.append(c)
+        out = np.zeros(language_id.DIM)
+        for i in range(len(s) - 2):
+            out += v[s[i]] * np.roll(v[s[i + 1]], 1) * np.roll(v[s[i + 2]], 2)
+        return out
+
+    data = rows(40)
+    learnt = [r for r in data if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    unit = lambda x: x / np.sqrt(x @ x)
+    proto = {k: unit(sum(unit(bundle(t)) for _, t, lang in learnt if lang == k)) for k in ("de", "en")}
+    mean = (proto["de"] + proto["en"]) / 2
+    for r in language_id.op8(docs(data)).collect():
+        x = unit(unit(bundle(data[r.doc_id][1])) - mean)
+        c = {k: float(x @ unit(p - mean)) for k, p in proto.items()}
+        best = max(c, key=c.get)
+        assert r.lang_pred == best and abs(r.score - (1 + c[best]) / 2) < 1e-5
+
+
+def test_rare_languages_are_learnt(docs):
+    many = [(i, EN, "en") for i in range(600)] + [(1000 + i, DE, "de") for i in range(6)]
+    got = language_id.learnt_from(docs(many), fit_rows=60).groupBy("l").count().collect()
+    got = {r.l: r["count"] for r in got}
+    assert got["de"] == 6 and 30 < got["en"] < 85
+
+
+def test_alphabets_beyond_latin_stay_apart():
+    for letters in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "áàâäãåéèêëíïóôöúüçñßæø"):
+        assert len(set(language_id.symbols(letters).tolist())) > 0.8 * len(letters)
+
+
+def test_long_texts_stay_exact():
+    import numpy as np
+
+    one = language_id.bundles(["ab "])[0]
+    assert (language_id.bundles(["ab " * 6_000_000])[0] % 1 == 0).all() and one.dtype == np.float64

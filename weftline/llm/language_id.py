@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import bucket, filter_texts, map_rows
 
 #: Dimensions; symbols (0 for any run of non-letters, 26 Latin letters, the rest shared by hash); letters in an n-gram.
-DIM, SYMBOLS, N = 1024, 64, 3
+DIM, SYMBOLS, N = 1024, 128, 3
 UNDETERMINED = "und"
-#: The most labelled texts that are learnt from.
+#: About how many labelled texts are learnt from, in even shares by language as far as they go.
 FIT_ROWS = 20_000
 #: A text is like a language if its n-grams are at least LEAST_LIKE times as usual there as those of its training
 #: texts; a short text may also be under that by chance, up to CHANCE times the training texts' spread (a median, so about a third
@@ -81,32 +81,43 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bundles(texts: list[str | None]) -> np.ndarray:
-    """One vector a text; whole numbers, held as float64, so that sums don't depend on their order."""
+    """One vector a text; whole numbers, so that sums don't depend on their order: in float32 while they stay under 2**24, in float64 else."""
     found = [grams(t or "") for t in texts]
+    kind = np.float32 if all(n.sum() < 1 << 24 for _, n in found) else np.float64
     every = np.unique(np.concatenate([g for g, _ in found])) if found else np.zeros(0, np.int64)
     out = np.zeros((len(texts), DIM), np.float64)
     for at in range(0, len(every), 8192):
         part = every[at : at + 8192]
-        count = np.zeros((len(texts), len(part)), np.float32)
+        count = np.zeros((len(texts), len(part)), kind)
         for i, (g, n) in enumerate(found):
             lo, hi = np.searchsorted(g, [part[0], part[-1] + 1])
             count[i, np.searchsorted(part, g[lo:hi])] = n[lo:hi]
-        out += count @ gram_vectors(part).astype(np.float32)
+        out += count @ gram_vectors(part).astype(kind)
     return out
 
 
 def learnt_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``l, t``: at most ``fit_rows`` ids of the rows with a text and a language; a hash of ``key`` alone says which."""
-    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    # two narrow passes: the ids first, so that texts are never sorted
-    chosen = known.select("k", F.xxhash64(F.col("k").cast("string"), F.lit("fit")).alias("h")).where("k is not null").distinct().orderBy("h", "k").limit(fit_rows)
-    return known.join(F.broadcast(chosen.select("k")), "k").select("l", "t")  # fit_rows ids at most
+    """``l, t``: about ``fit_rows`` of the rows with a text, an id and a language; a hash of ``key`` and the numbers of rows by language say which.
 
+    Every language has an even share, and what small ones leave goes to the others, so a rare language isn't missed. One
+    number a language comes to the driver. Nothing is sorted or shuffled but counts.
+    """
+    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and l is not null and t is not null")
+    counts = sorted((r["count"], r.l) for r in known.groupBy("l").count().collect())
+    rates, left = [], float(fit_rows)
+    for i, (n, language) in enumerate(counts):
+        own = min(n, left / (len(counts) - i))
+        rates.append((language, own / n))
+        left -= own
+    if not rates:
+        return known.select("l", "t").limit(0)
+    place = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("fit")), F.lit(1 << 40)) / float(1 << 40)
+    rate = F.broadcast(docs.sparkSession.createDataFrame(rates, "l string, rate double"))  # one row a language
+    return known.join(rate, "l").where(place < F.col("rate")).select("l", "t")
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """Prototypes by language, from at most ``fit_rows`` of the rows with a text and a language.
 
-    Which rows those are depends on a hash of ``key`` alone. What comes to the driver is one vector a
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
+    """Prototypes by language, from the rows of learnt_from(). What comes to the driver is one vector a
     language: the counts are added on the executors.
     """
     known = learnt_from(docs, text, lang, key, fit_rows)

@@ -4,7 +4,9 @@ A response is a row of record id, target URI, date, HTTP header lines and payloa
 record (title, language, links, the source's header lines and digests) and a conversion record (the
 page's plain text) are built; both refer to the response by WARC-Refers-To, and name its digests.
 Record ids are made from the response's id and the record's type, so a task that runs again makes the
-same records. write() makes gzip members in one file per task under a shared folder, read() takes them apart.
+same records. write() and read() go through Spark's own writers and readers, so a folder may be on any file system that
+Spark knows, a task that runs again leaves one file, and an older run's files go if ``mode`` says so. A file is one gzip
+stream of WARC records (not a member for each record, which the format recommends).
 
 Null payloads count as empty, null URIs and dates leave their header out, null keys pass through, and
 repeated rows give their records again. No rows give no records (and no files).
@@ -16,7 +18,7 @@ import base64
 import gzip
 import hashlib
 import html
-import os
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -25,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import map_rows
-from weftline.session import prepare
 
 VERSION, SPACE = "WARC/1.1", uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Records in a file that write() makes; read() takes a file as a whole.
+RECORDS_PER_FILE = 20_000
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, source_block_digest string, source_payload_digest string, headers string, block binary"
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>", re.S | re.I)
-_TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*)|[/!?a-zA-Z])[^>]*>")
+_TAG = re.compile(r"""<(?:/?([a-zA-Z][a-zA-Z0-9]*)|[/!?a-zA-Z])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""")  # a > inside quotes doesn't end a tag, unless a quote is left open
 #: What stands for a tag in the text, if not nothing.
 _SHOWS = dict.fromkeys("p div br hr li ul ol dl dt dd tr table thead tbody section article header footer nav aside main h1 h2 h3 h4 h5 h6 pre blockquote form figure figcaption option body html".split(), "\n") | {"td": " ", "th": " "}
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -117,35 +120,16 @@ def derivatives(source: DataFrame) -> DataFrame:
     return map_rows(source.select("key", "payload", "record_id", "uri", "date", "http"), run, RECORD)
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Write records as gzip members into ``folder``, which all executors share; returns file names and counts.
+def write(records: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE, mode: str = "errorifexists") -> None:
+    """Write records as gzip files of at most ``records_per_file`` records into ``folder``."""
+    crlf = lambda s: F.lit(s).cast("binary")
+    whole = F.concat(F.col("headers").cast("binary"), crlf("\r\n"), F.col("block"), crlf("\r\n\r"))  # the writer ends it with a line feed
+    records.select(whole.cast("string").alias("value")).write.mode(mode).option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(folder)
 
-    A task writes under a name of its own and then renames, so one that runs twice leaves one file.
-    """
-    os.makedirs(folder, exist_ok=True)
 
-    def run(lists):
-        from pyspark import TaskContext
-
-        name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.warc.gz")
-        part, n = f"{name}.{uuid.uuid4().hex}", 0
-        with open(part, "wb") as f:
-            for rows in lists:
-                for head, block in rows:
-                    f.write(gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n", 6, mtime=0))
-                    n += 1
-        if n:
-            os.replace(part, name)
-            yield [(name, n)]
-        else:
-            os.remove(part)
-
-    return map_rows(records.select("headers", "block"), run, "file string, records long", text=0)
-
-
-def parse(path: str) -> Iterator[tuple[str, bytes]]:
-    """(header, block) of each record of a file, in order."""
-    with gzip.open(path) as f:
+def parse(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(header, block) of each record of a gzip file (of one member or many), in order."""
+    with gzip.open(io.BytesIO(data)) as f:
         while line := f.readline():
             if not line.strip():
                 continue
@@ -157,24 +141,23 @@ def parse(path: str) -> Iterator[tuple[str, bytes]]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """``headers`` (a map of lower-case names) and ``block`` of all records in a shared folder."""
-    prepare(spark)
-    files = [(os.path.join(folder, f),) for f in sorted(os.listdir(folder)) if f.endswith(".warc.gz")]
-    paths = spark.createDataFrame(files, "file string").repartition(max(1, len(files)))
+    """``headers`` (a map of lower-case names) and ``block`` of all records of the gzip files in ``folder``; a task holds the files it was given, packed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
 
     def run(lists):
         for rows in lists:
-            for (path,) in rows:
-                out = []
-                for head, block in parse(path):
+            for _, data in rows:
+                out, size = [], 0
+                for head, block in parse(data):
                     fields = dict((k.strip().lower(), v.strip()) for k, v in (x.split(":", 1) for x in head.splitlines()[1:]))
                     out.append((list(fields.items()), block))
-                    if len(out) == 100:
+                    size += len(block)
+                    if len(out) == 100 or size > 4_000_000:
                         yield out
-                        out = []
+                        out, size = [], 0
                 yield out
 
-    return map_rows(paths, run, "headers map<string,string>, block binary", text=0)
+    return map_rows(files, run, "headers map<string,string>, block binary", text=0)
 
 
 def op3(pages: DataFrame) -> DataFrame:
