@@ -60,6 +60,8 @@ def test_links_give_the_components_of_all_pairs(spark):
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in items]
     df = spark.createDataFrame(signed, "i long, fp long")
     edges = simhash.links(df)
+    by_shuffle = {tuple(sorted((x.a, x.b))) for x in simhash.links(df, near=0, hot=50).collect()}
+    assert by_shuffle == {tuple(sorted((x.a, x.b))) for x in edges.collect()}
     back = {f: i for i, f in signed}
     got = {i: i for i, _ in items}
     from weftline.llm.graph import components

@@ -80,16 +80,19 @@ def bucket(column, n: int):
     return F.crc32(column.cast("string")) % n
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, rows: int | None = None, hot: int | None = None) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, rows: int | None = None, hot: int | None = None, near: int = 0) -> DataFrame:
     """Inner join of ``big`` with ``small``, whose keys are unique and whose column ``n`` says how many rows of ``big`` have each.
 
     Keys with over ``hot`` (HOT) rows don't meet in one task: they are broadcast, and their rows stay where they
     are. There are at most 20,000 such keys, since ``hot`` grows with the rows. ``rows``: at most so many rows in ``big``, if known.
+    ``near``: if ``small`` has so many rows at most, it is broadcast, and nothing is shuffled.
     """
     hot = HOT if hot is None else hot
-    if rows is not None and rows <= hot:
+    if not near and rows is not None and rows <= hot:
         return big.join(small, keys)
-    total, top = small.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    size, total, top = small.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if size <= near:
+        return big.join(F.broadcast(small), keys)
     least = max(hot, total // 20_000)
     if top <= least:
         return big.join(small, keys)

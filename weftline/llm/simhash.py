@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import join_hot, map_rows, row_key, without
+from weftline.llm.common import BROADCAST_ROWS, join_hot, map_rows, row_key, without
 from weftline.llm.graph import components
 from weftline.session import checkpoint, written
 
@@ -76,8 +76,11 @@ def _within(word, upto: int):
     return F.transform(masks, lambda m: F.struct(word.bitwiseXOR(m).alias("w"), F.bit_count(m).cast("int").alias("r")))
 
 
-def links(fps: DataFrame, fp: str = "fp", hot: int | None = None) -> DataFrame:
-    """Edges ``a``, ``b`` between fingerprints within RADIUS bits that give the components of all such pairs."""
+def links(fps: DataFrame, fp: str = "fp", hot: int | None = None, near: int = BROADCAST_ROWS) -> DataFrame:
+    """Edges ``a``, ``b`` between fingerprints within RADIUS bits that give the components of all such pairs.
+
+    Up to ``near`` shared halves or centres are broadcast to the rows that they are joined with; more are joined by a shuffle.
+    """
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
     one = checkpoint(fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct())
@@ -86,11 +89,11 @@ def links(fps: DataFrame, fp: str = "fp", hot: int | None = None) -> DataFrame:
     halves = one.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("tag"), high.alias("key"), low.alias("rest")), F.struct(F.lit(1).alias("tag"), low.alias("key"), high.alias("rest")))).alias("h"))
     folded = halves.select("fp", "h.tag", "h.rest", F.explode(_within(F.col("h.key"), 1)).alias("k")).select("fp", "tag", "rest", F.col("k.w").alias("key"), F.col("k.r").alias("flips"))
     shared = written(folded.groupBy("tag", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n")).where("least <> most").select("tag", "key", "n"), "halves")
-    met = join_hot(folded, shared, ["tag", "key"], "n", 66 * n, hot)
+    met = join_hot(folded, shared, ["tag", "key"], "n", 66 * n, hot, near)
     unfolded = met.select("fp", "tag", "key", "flips", F.explode(F.when(F.col("flips") == 1, F.array(F.struct(F.col("rest").alias("w"), F.lit(0).alias("r")))).when(F.bit_count("fp") % 2 == 1, _within(F.col("rest"), 2)).otherwise(_within(F.col("rest"), 1))).alias("x"))
     at = unfolded.select("fp", "tag", "key", F.col("x.w").alias("w"), (F.col("flips") + F.col("x.r")).alias("r"))
     centres = at.groupBy("tag", "key", "w").agg(F.min(F.when(F.col("r") <= 1, F.col("fp"))).alias("b"), F.count("*").alias("m")).where("b is not null and m > 1")
-    near = join_hot(at, written(centres, "centres"), ["tag", "key", "w"], "m", None, hot).where("b <> fp")
+    near = join_hot(at, written(centres, "centres"), ["tag", "key", "w"], "m", None, hot, near).where("b <> fp")
     return near.select(F.col("fp").alias("a"), "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
