@@ -66,6 +66,15 @@ def test_neighbours_against_brute_force():
     assert all(a >= b - 1e-4 for a, b in zip(ranked, ranked[1:]))
 
 
+def test_counts_against_counter():
+    from collections import Counter
+
+    r = np.random.default_rng(1)
+    rows = [r.integers(0, 9, r.integers(1, 30)).astype("<u2") for _ in range(20)]
+    want = [(i, t, n) for i, x in enumerate(rows) for t, n in sorted(Counter(x.tolist()).items())]
+    assert list(zip(*(x.tolist() for x in packing.counted(rows)))) == want
+
+
 def test_windows_against_a_plain_greedy_rule():
     """Every seed's window: all neighbours by score that fit whole, then the best left is cut."""
     r = np.random.default_rng(6)
@@ -102,7 +111,7 @@ def test_topics_lie_together_and_large_ones_are_split(spark):
     shards = {r.shard: r.n for r in spread.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     assert (n, total) == (3000, 300_000) and len(shards) == 30 and max(shards.values()) < 15_000
     seven = {r.shard for r in spread.where("topic = 7").select("shard").distinct().collect()}
-    assert len(seven) == 20 and packing.topic(np.array([5, 900, 900, 5, 5, 1])) == 900
+    assert len(seven) == 20 and packing.topics([np.array([5, 900, 900, 5, 5, 1]), np.array([3]), np.array([9, 8, 8, 9, 9])]) == [900, 3, 9]
 
 
 def test_like_goes_with_like():

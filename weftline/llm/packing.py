@@ -84,10 +84,22 @@ def encoder(path: str | None = None) -> Encoder:
     return _loaded[path]
 
 
-def topic(ids: np.ndarray) -> int:
-    """The token that tells most of what ids are about: repeated, and rare (a tokenizer's higher ids are merges of rarer strings); ties: the least."""
-    t, n = np.unique(ids, return_counts=True)
-    return int(t[np.argmax(n / (n + K1) * np.log(2.0 + t))])
+def counted(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, distinct id and its count, in order, for all rows at once."""
+    size = [len(r) for r in rows]
+    every = np.sort(np.repeat(np.arange(len(rows), dtype=np.uint64), size) << np.uint64(32) | np.concatenate(rows).astype(np.uint64))
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return (every[first] >> np.uint64(32)).astype(np.int64), (every[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), np.diff(np.concatenate((first, [len(every)])))
+
+
+def topics(rows: list[np.ndarray]) -> list[int]:
+    """By row, the token that tells most of what its ids are about: repeated, and rare (a tokenizer's higher ids are merges of rarer strings); ties: the least."""
+    row, t, n = counted(rows)
+    weight = n / (n + K1) * np.log(2.0 + t)
+    begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    best = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, begin), np.diff(np.concatenate((begin, [len(row)])))))
+    _, first = np.unique(row[best], return_index=True)
+    return t[best[first]].tolist()
 
 
 def encoded(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
@@ -97,13 +109,10 @@ def encoded(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer:
         encode, row = encoder(tokenizer), 0
         end = np.array([END_ID], encode.dtype).tobytes()
         for rows in lists:
-            out = []
-            for r in rows:
-                ids = encode(r[1] or "") + end
-                own = np.frombuffer(ids, encode.dtype)
-                out.append((r[0], row, len(own), topic(own), ids))
-                row += 1
-            yield out
+            ids = [encode(r[1] or "") + end for r in rows]
+            own = [np.frombuffer(x, encode.dtype) for x in ids]
+            yield [(r[0], row + i, len(o), t, x) for i, (r, o, t, x) in enumerate(zip(rows, own, topics(own), ids))]
+            row += len(rows)
 
     return written(map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, row long, n long, topic int, ids binary"), "token-ids")
 
@@ -114,11 +123,9 @@ def frequencies(tokens: DataFrame, dtype: str = "<u2") -> np.ndarray:
     def run(lists):
         df = np.zeros(1 << 16, np.int64)
         for rows in lists:
-            for r in rows:
-                ids = np.unique(np.frombuffer(r[1], dtype))
-                if ids[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
-                df[ids] += 1
+            one = np.bincount(counted([np.frombuffer(r[1], dtype) for r in rows])[1], minlength=len(df))
+            one[: len(df)] += df
+            df = one
         at = np.flatnonzero(df)
         yield list(zip(at.tolist(), df[at].tolist()))
 
@@ -133,17 +140,13 @@ class Index:
     """BM25 over the tails of one shard: postings (tail, weight) by term; those of used tails go when half are used."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
-        term, doc, weight, self.query = [], [], [], []
-        for i, ids in enumerate(tails):
-            t, n = np.unique(ids, return_counts=True)
-            term.append(t)
-            doc.append(np.full(len(t), i, np.int32))
-            weight.append(idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean)))
-        self.query, self.n, self.size = term, len(tails), len(idf)
-        every = np.concatenate(term)
-        order = np.argsort(every, kind="stable")
-        self._set(every[order], np.concatenate(doc)[order], np.concatenate(weight)[order])
-        self.indexed = self.n
+        doc, term, n = counted(tails)
+        length = np.array([len(t) for t in tails])
+        weight = idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * length[doc] / mean))
+        self.n, self.size, self.indexed = len(tails), len(idf), len(tails)
+        self.query = np.split(term, np.searchsorted(doc, np.arange(1, self.n)))
+        order = np.argsort(term, kind="stable")
+        self._set(term[order], doc[order], weight[order])
 
     def _set(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
         self.term, self.doc, self.weight = term, doc, weight
