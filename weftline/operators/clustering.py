@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.iterate import loop
+from weftline.session import checkpoint
 
 
 def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -16,12 +17,23 @@ def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
     return points.join(F.broadcast(all_centres), F.lit(True)).select("id", "v", best.alias("b")).select("id", "v", "b.c", "b.d2")
 
 
-def move(assigned: DataFrame, centres: DataFrame) -> DataFrame:
-    """The means of the assigned points; a centre without points keeps its place."""
-    sums = assigned.select("c", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    means = sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("x")))), lambda p: p["x"]).alias("new"))
+def move(assigned: DataFrame, centres: DataFrame, dims: int | None = None) -> DataFrame:
+    """The means of the assigned points; a centre without points keeps its place. With ``dims``, a point is one row of ``dims`` sums, not ``dims`` rows."""
+    if dims is None:
+        sums = assigned.select("c", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+        means = sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("x")))), lambda p: p["x"]).alias("new"))
+    else:
+        sums = assigned.groupBy("c").agg(*(F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(dims)))
+        means = sums.select("c", F.filter(F.array(*(f"m{i}" for i in range(dims))), lambda x: x.isNotNull()).alias("new"))
     return centres.join(means, "c", "left").select("c", F.coalesce("new", "m").alias("m"))
 
 
 def kmeans(points: DataFrame, centres: DataFrame, trips: int) -> DataFrame:
-    return loop({"c": centres}, trips, lambda s, _: {"c": move(assign(points, s["c"]), s["c"])})["c"]
+    """Centres after ``trips`` trips. The points are kept in memory while the trips run; K rows of centres are written each trip."""
+    centres = checkpoint(centres)
+    dims = centres.agg(F.coalesce(F.max(F.size("m")), F.lit(0))).first()[0]
+    kept = points.select("id", "v").persist()
+    try:
+        return checkpoint(loop({"c": centres}, trips, lambda s, _: {"c": move(assign(kept, s["c"]), s["c"], dims)}, cut_every=1)["c"])
+    finally:
+        kept.unpersist()

@@ -40,10 +40,13 @@ def ordered_gather(messages: DataFrame, value: str) -> DataFrame:
     return one.groupBy("dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("src", value))), lambda s: s[value]).alias("inbox"))
 
 
-def gather_single(messages: DataFrame, value: str) -> DataFrame:
-    """The payload of partitions that must have had exactly one message; others raise an error."""
+def gather_single(messages: DataFrame, value: str, parts: int | None = None) -> DataFrame:
+    """The payload of partitions that must have had exactly one message; others raise an error. Of ``parts`` partitions (if given) none may have had none."""
     got = messages.groupBy("dst").agg(F.count("*").alias("n"), F.max(value).alias(value))
-    checked = F.when(F.col("n") == 1, F.col(value)).otherwise(F.raise_error(F.concat(F.lit("more than one message for partition "), F.col("dst").cast("string"))))
+    if parts is not None:
+        got = messages.sparkSession.range(parts).select(F.col("id").alias("dst")).join(got.withColumn("dst", F.col("dst").cast("long")), "dst", "full")
+    told = F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" messages instead of one (not more than one message, not none) for partition "), F.col("dst").cast("string"))
+    checked = F.when(F.col("n") == 1, F.col(value)).otherwise(F.raise_error(told))
     return got.select("dst", checked.alias(value))
 
 

@@ -93,8 +93,8 @@ def look_up(asked: DataFrame, current: DataFrame, *keys: str) -> DataFrame:
 
 
 def route(version: Column, own_version: Column, dst: Column, here: Column, known: Column) -> Column:
-    """What becomes of a message: deliver, forward or pend."""
-    return F.when((version >= own_version) & (dst == here), "deliver").when(dst == here, "deliver").when(known, "forward").otherwise("pend")
+    """What becomes of a message: deliver if its map is as new as the worker's own or it is for this worker, else forward, or pend where the owner isn't known."""
+    return F.when((version >= own_version) | (dst == here), "deliver").when(known, "forward").otherwise("pend")
 
 
 def receivers(current: DataFrame) -> DataFrame:

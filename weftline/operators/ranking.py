@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.iterate import loop
+from weftline.session import checkpoint
 
 KEEP = 0.85
 
@@ -24,17 +25,22 @@ def edge_owner(src, dst, vertices: int, parts: int):
 
 
 def walk(edges: DataFrame, trips: int, keep: float = KEEP) -> DataFrame:
-    """``v, rank`` after ``trips`` trips from rank 1, for every vertex that has an out-edge.
+    """``v, rank`` after ``trips`` trips from rank 1, for every vertex of an edge; one without out-edges keeps its share and sends nothing.
 
-    A vertex's own share is an edge to itself, so a trip is one join and one sum; the weights are
-    computed once and kept in memory (spilling to disk) while the trips run.
+    A vertex's own share is an edge to itself, so a trip is one join and one sum. The weights are computed once and
+    kept by source (in memory, spilling to disk) while the trips run, so a trip shuffles ranks and shares, not edges; they are
+    let go when the ranks are written.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    weights = edges.join(degree, "src").select("src", "dst", ((1 - keep) / F.col("deg")).alias("w"))
-    weights = weights.unionByName(degree.select("src", F.col("src").alias("dst"), F.lit(keep).alias("w"))).persist()
+    vertices = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    own = vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(keep).alias("w"))
+    weights = edges.join(degree, "src").select("src", "dst", ((1 - keep) / F.col("deg")).alias("w")).unionByName(own).repartition("src").persist()
 
     def body(state, _):
-        moved = weights.join(state["rank"], weights["src"] == state["rank"]["v"])
+        moved = weights.join(state["rank"].withColumnRenamed("v", "src"), "src")
         return {"rank": moved.groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("w") * F.col("rank")).alias("rank"))}
 
-    return loop({"rank": degree.select(F.col("src").alias("v"), F.lit(1.0).alias("rank"))}, trips, body)["rank"]
+    try:
+        return checkpoint(loop({"rank": weights.where("src = dst").select(F.col("src").alias("v"), F.lit(1.0).alias("rank")).distinct()}, trips, body)["rank"])
+    finally:
+        weights.unpersist()

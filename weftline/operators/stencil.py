@@ -13,14 +13,14 @@ def box_average(cells: DataFrame, axes: list[str], value: str = "v", radius: int
     """Each cell's mean over the cells that exist in the box around it.
 
     Every cell sends (sum, count) to the cells around, one axis at a time, so the fan-out is 2 radius + 1
-    per axis, not the box's volume; only existing cells are kept at the end.
+    per axis, not the box's volume. What a cell sent to itself along all axes tells that it exists; the others go at the end.
     """
-    sums = cells.select(*axes, F.col(value).alias("__s"), F.lit(1).cast("long").alias("__n"))
+    sums = cells.select(*axes, F.col(value).alias("__s"), F.lit(1).cast("long").alias("__n"), F.lit(True).alias("__own"))
     for a in axes:
         step = F.explode(F.array(*(F.lit(o) for o in range(-radius, radius + 1)))).alias("__o")
-        sent = sums.select(*axes, "__s", "__n", step).withColumn(a, F.col(a) + F.col("__o")).drop("__o")
-        sums = sent.groupBy(*axes).agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
-    return sums.join(cells.select(*axes), axes, "left_semi").select(*axes, (F.col("__s") / F.col("__n")).alias(value))
+        sent = sums.select(*axes, "__s", "__n", "__own", step).withColumns({a: F.col(a) + F.col("__o"), "__own": F.col("__own") & (F.col("__o") == 0)}).drop("__o")
+        sums = sent.groupBy(*axes).agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"), F.max("__own").alias("__own"))
+    return sums.where("__own").select(*axes, (F.col("__s") / F.col("__n")).alias(value))
 
 
 def cube(spark, nx: int, ny: int, nz: int) -> DataFrame:

@@ -49,7 +49,7 @@ def gather_list(spark, d):
 def gather_single(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     sent = comm.scatter(n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]), F.col("n_nationkey"), payload=F.col("r_name"))
-    return comm.gather_single(sent, "payload").withColumnRenamed("dst", "part")
+    return comm.gather_single(sent, "payload", 25).withColumnRenamed("dst", "part")
 
 
 @register("ordered_gather", "select conv_id::bigint as part, string_agg(role || ':' || length(text), ',' order by turn) as inbox from conversations group by 1")
@@ -176,9 +176,12 @@ def loop_barrier(spark, d):
 @register("sumup_layered", "select 10::bigint as trips, count(*)::double as total from orders")
 def sumup_layered(spark, d):
     ones = table(spark, d, "orders").select(F.col("o_orderkey").alias("part"), F.lit(1.0).alias("v"))
-    first = comm.tree_reduce(ones, "part", 4, [F.sum("v").alias("s")], [F.sum("s").alias("total")])
-    # each trip sums the same values again, and the number sent back isn't used; the last trip's sum is the answer
-    return first.select(F.lit(10).cast("long").alias("trips"), "total")
+
+    def body(state, _):  # each trip sums the same values by layers again and sends the sum back with the trip's number, which goes on
+        total = comm.tree_reduce(ones, "part", 4, [F.sum("v").alias("s")], [F.sum("s").alias("now")])
+        return {"t": comm.broadcast_value(state["t"], total).select((F.col("trips") + 1).alias("trips"), F.col("now").alias("total"))}
+
+    return loop({"t": spark.range(1).select(F.lit(0).cast("long").alias("trips"), F.lit(0.0).alias("total"))}, 10, body, cut_every=1)["t"]
 
 
 @register("scatter_self_counts", "select l_linenumber::bigint as src, (l_orderkey % 4)::bigint as dst, count(*)::bigint as n from lineitem group by 1, 2")

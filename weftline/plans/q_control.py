@@ -93,7 +93,7 @@ def partition_map_merge(spark, d):
     return control.look_up(table(spark, d, "customer").select(F.col("c_custkey").alias("part")), control.merge_map(updates, "part"), "part")
 
 
-@register("route_decision", "select o_orderkey, case when o_custkey % 25 = 7 then 'deliver' when o_custkey % 25 < 20 then 'forward' else 'pend' end as decision from orders")
+@register("route_decision", "select o_orderkey, case when o_orderkey % 10 >= 5 or o_custkey % 25 = 7 then 'deliver' when o_custkey % 25 < 20 then 'forward' else 'pend' end as decision from orders")
 def route_decision(spark, d):
     dst = F.col("o_custkey") % 25
     return table(spark, d, "orders").select("o_orderkey", control.route(F.col("o_orderkey") % 10, F.lit(5), dst, F.lit(7), dst < 20).alias("decision"))

@@ -75,8 +75,11 @@ _NODES = f"n as (select range::bigint as gid, (range // {(N + 1) ** 2})::double
 _ZN = f"""zn as (select z.range::bigint as zone, s.slot::bigint as slot, (((z.range // {N * N} + s.a) * {N + 1} + z.range // {N} % {N} + s.b) * {N + 1} + z.range % {N} + s.c)::bigint as gid
 from range({N**3}) z, (values {", ".join(str((i, *c)) for i, c in enumerate(ls.CORNERS))}) s(slot, a, b, c))"""
 _LEVEL = "sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) + (z - 0.5) * (z - 0.5)) - 0.25::double"
-_S0 = f"s0 as (select gid, (case when r <= 0.3 then case when r - 0.25 < 0 then 1 else 2 end else 4 end) as state, (case when r <= 0.3 then least(1e9, r - 0.25) else 1e9 end)::double as level, case when r <= 0.3 and r - 0.25 < 0 then least(1e9, r) else 1e9 end::double as t from (select gid, sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) + (z - 0.5) * (z - 0.5)) as r from n))"
-_SURF = "sz as (select zone from zn join @ using (gid) group by 1 having sum(case when level < 0 then 1 else 0 end) between 1 and 7)"
+BAND = (1 + math.sqrt(3)) / N
+_B = f"{BAND!r}::double"
+_T0 = f"""q as (select gid, sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) + (z - 0.5) * (z - 0.5)) - (0.35::double - 0.05::double) as lv from n),
+s0 as (select gid, case when lv < -{_B} then 1 when abs(lv) < {_B} then 2 else 4 end as state, case when lv < {_B} then lv else 1e9 end::double as level, case when lv < 0 then greatest(0, 0.35 + lv) else 1e9 end::double as t from q)"""
+_SURF = "sz as (select zone from zn join @ using (gid) group by 1 having sum(case when level < 0 then 1 else 0 end) between 1 and 7 and count(*) filter (state = 2) > 0)"
 FAR = 1e9
 
 
@@ -88,10 +91,7 @@ def _fired(spark):
     nodes, _ = _mesh(spark)
     start = nodes.select("gid", F.lit(ls.UNREACHED).alias("state"), F.lit(FAR).alias("level"), F.lit(FAR).alias("t"))
     sources = spark.createDataFrame([(0.5, 0.5, 0.5, 0.3, 0.05)], "cx double, cy double, cz double, radius double, delay double")
-    return ls.fire_sources(start, nodes, sources, 0.35)
-
-
-_T0 = _S0.replace("r - 0.25", "r - 0.3").replace("least(1e9, r)", "least(1e9, 0.05 + r)").replace("<= 0.3", "<= 0.3::double").replace("r - 0.3", "(r - (0.35::double - 0.05::double))")
+    return ls.fire_sources(start, nodes, sources, 0.35, 1.0, BAND)
 
 
 def _out(s):
@@ -103,9 +103,17 @@ def mesh_zone_centers(spark, d):
     return ls.zone_centres(*_mesh(spark)).select("zone", *(F.round(a, 9).alias(a) for a in "xyz"))
 
 
-@register("mesh_extremes", f"""select {1 / N}::double as max_edge, {1 / N}::double as min_edge, round({math.sqrt(3) / N}::double, 9) as max_diagonal, round({(1 + math.sqrt(3)) / N}::double, 9) as band""")
+_EDGES = ", ".join(f"({a}, {b})" for a, b in ls.EDGES)
+
+
+@register("mesh_extremes", f"""with {_NODES}, {_ZN}, p as (select zone, slot, x, y * y as y, z * (1 + 2 * x * x) as z from zn join n using (gid)),
+e as (select a.zone, (a.slot, b.slot) in ({_EDGES}) as edge, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as d from p a join p b on a.zone = b.zone and a.slot < b.slot),
+g as (select zone, max(d) filter (edge) as most, min(d) filter (edge) as least, max(d) as across from e group by 1)
+select round(max(most), 9) as max_edge, round(min(least), 9) as min_edge, round(max(across), 9) as max_diagonal, round(max(most + across), 9) as band from g""")
 def mesh_extremes(spark, d):
-    return ls.mesh_extremes(*_mesh(spark)).select(*(F.round(c, 9).alias(c) for c in ("max_edge", "min_edge", "max_diagonal", "band")))
+    nodes, zn = _mesh(spark)
+    bent = nodes.select("gid", "x", (F.col("y") * F.col("y")).alias("y"), (F.col("z") * (1 + 2 * F.col("x") * F.col("x"))).alias("z"))
+    return ls.mesh_extremes(bent, zn).select(*(F.round(c, 9).alias(c) for c in ("max_edge", "min_edge", "max_diagonal", "band")))
 
 
 @register("mesh_incidence", f"with {_ZN} select gid, count(*)::bigint as zones, min(zone)::bigint as first_zone from zn group by 1")
@@ -118,7 +126,7 @@ def levelset_sources(spark, d):
     return _out(_fired(spark))
 
 
-_BAND = "s1 as (select s.gid, (case when w.gid is not null and state <> 1 then 2 when w.gid is null and state = 2 and level < 0 then 1 else state end) as state, level, t from s0 s left join (select distinct gid from zn join sz using (zone)) w using (gid))"
+_BAND = "s1 as (select s.gid, (case when w.gid is null and state = 2 and level < 0 then 1 else state end) as state, level, t from s0 s left join (select distinct gid from zn join sz using (zone)) w using (gid))"
 
 
 @register("levelset_narrowband", f"with {_NODES}, {_ZN}, {_T0}, {_SURF.replace('@', 's0')}, {_BAND} select gid, state, round(level, 6) as level, round(t, 6) as t from s1")
@@ -126,7 +134,7 @@ def levelset_narrowband(spark, d):
     return _out(ls.narrow_band(_fired(spark), _mesh(spark)[1]))
 
 
-@register("levelset_nearby", f"""with {_NODES}, {_ZN}, {_T0}, {_SURF.replace("@", "s0")}, {_BAND}, a as (select distinct gid from zn join sz using (zone)), b as (select distinct zone from zn join a using (gid)), c as (select distinct gid from zn join b using (zone))
+@register("levelset_nearby", f"""with {_NODES}, {_ZN}, {_T0}, {_SURF.replace("@", "s0")}, {_BAND}, sz1 as (select zone from zn join s1 using (gid) group by 1 having sum(case when level < 0 then 1 else 0 end) between 1 and 7 and count(*) filter (state = 2) > 0), a as (select distinct gid from zn join sz1 using (zone)), b as (select distinct zone from zn join a using (gid)), c as (select distinct gid from zn join b using (zone))
 select s.gid, case when c.gid is not null and state not in (1, 2) and level >= 0 then 3 else state end as state, round(level, 6) as level, round(t, 6) as t from s1 s left join c using (gid)""")
 def levelset_nearby(spark, d):
     zn = _mesh(spark)[1]
@@ -143,9 +151,9 @@ def _banded(spark):
 _BANDED = f"s as (select gid, case when abs(level) < 0.25 then 2 when level < 0 then 1 else 4 end as state, level from (select gid, {_LEVEL} as level from n))"
 
 
-@register("levelset_dt", f"with {_NODES}, {_BANDED} select round(least(1.05::double, 0.5 * min(level)), 9) as dt from s where state = 2 and level > 0")
+@register("levelset_dt", f"with {_NODES}, {_ZN}, {_BANDED}, {_SURF.replace('@', 's')} select round(least(1.05::double, 0.5 * min(level)), 9) as dt from s where state = 2 and level > 0.25 / {N} and gid not in (select gid from zn join sz using (zone))")
 def levelset_dt(spark, d):
-    return ls.next_step(_banded(spark), 1.0, 1.0, 1 / N).select(F.round("dt", 9).alias("dt"))
+    return ls.next_step(_banded(spark), _mesh(spark)[1], 1.0, 1.0, 1 / N).select(F.round("dt", 9).alias("dt"))
 
 
 @register("levelset_integrate", f"with {_NODES}, {_BANDED} select gid, state, round(case when state = 2 then level - 0.07 else level end, 6) as level, round(case when state = 2 and level >= 0 and level - 0.07 < 0 then 0.35 + level end, 6) as t from s")
@@ -164,6 +172,14 @@ def levelset_promote(spark, d):
     return ls.promote(near).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@register("levelset_run", f"""with {_NODES} select gid, round(0.05 + sqrt((x - 0.25) * (x - 0.25) + (y - 0.5) * (y - 0.5) + (z - 0.5) * (z - 0.5)), 6) as t from n""")
+def levelset_run(spark, d):
+    """The loop to its end from one source at one velocity: the front passes a node at the delay plus the distance."""
+    nodes, zn = _mesh(spark)
+    sources = spark.createDataFrame([(0.25, 0.5, 0.5, 0.1, 0.05)], "cx double, cy double, cz double, radius double, delay double")
+    return ls.spread(nodes, zn, sources, 1.0, 60)[0].select("gid", F.round("t", 6).alias("t"))
+
+
 @register("levelset_front")
 def levelset_front(spark, d):
     nodes, zn = _mesh(spark)
