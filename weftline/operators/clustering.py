@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.operators.iterate import loop
 from weftline.session import checkpoint
 
 
 def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """``id, c, d2``: the closest centre (ties: the lowest). points: id, v (array); centres: c, m (array), K rows."""
-    all_centres = centres.agg(F.array_sort(F.collect_list(F.struct("c", "m"))).alias("centres"))  # K vectors in one row
-    d2 = lambda c: F.aggregate(F.zip_with("v", c["m"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    best = F.array_min(F.transform("centres", lambda c: F.struct(F.round(d2(c), 9).alias("d2"), c["c"].alias("c"))))
-    return points.join(F.broadcast(all_centres), F.lit(True)).select("id", "v", best.alias("b")).select("id", "v", "b.c", "b.d2")
+    """``id, v, c, d2``: the closest centre (ties: the lowest). points: id, v (array); centres: c, m (array), K rows, which go to every task.
+
+    Distances are sums of squared differences over batches of points; K rows of centres come to the driver, as few as the problem says.
+    """
+    rows = sorted((r.c, list(r.m)) for r in centres.select("c", "m").collect())
+    names, m = np.array([c for c, _ in rows], np.int64), np.array([v for _, v in rows], np.float64).reshape(len(rows), -1)
+    at_once = max(1, 2_000_000 // max(1, m.size))
+
+    def run(frames):
+        for f in frames:
+            v = np.array(f["v"].tolist(), np.float64).reshape(len(f), -1)
+            best, d2 = np.zeros(len(f), np.int64), np.zeros(len(f))
+            for lo in range(0, len(f), at_once):
+                d = np.round(((v[lo : lo + at_once, None, :] - m) ** 2).sum(axis=2), 9)
+                k = d.argmin(axis=1)
+                best[lo : lo + at_once], d2[lo : lo + at_once] = names[k], d[np.arange(len(k)), k]
+            yield f.assign(c=best, d2=d2)
+
+    own = points.select("id", F.col("v").cast("array<double>").alias("v"))
+    return own.mapInPandas(run, T.StructType([*own.schema.fields, T.StructField("c", T.LongType()), T.StructField("d2", T.DoubleType())]))
 
 
 def move(assigned: DataFrame, centres: DataFrame, dims: int | None = None) -> DataFrame:

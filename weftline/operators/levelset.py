@@ -122,7 +122,7 @@ def spread(nodes: DataFrame, zone_node: DataFrame, sources: DataFrame, velocity:
     """The whole loop at one velocity: the node state after ``trips`` steps or when no node is left to reach, the time, and the steps made.
 
     A step fires the sources whose time has come, narrows the band, takes nodes near the surface into it, and advances by
-    the next time step. The state is checkpointed each step; what comes to the driver is one row.
+    the next time step. The state is checkpointed twice a step; what comes to the driver is one row.
     """
     m = mesh_extremes(nodes, zone_node).first()
     far = 1e9
@@ -132,11 +132,11 @@ def spread(nodes: DataFrame, zone_node: DataFrame, sources: DataFrame, velocity:
         due = F.lit(time) >= F.col("delay") + F.col("radius") / velocity
         fired = fire_sources(state, nodes, waiting, time, velocity, m.band)
         waiting = waiting.where(~due)
-        state = checkpoint(narrow_band(fired, zone_node))
+        state = narrow_band(checkpoint(fired), zone_node)
         level = _image_levels(state, nodes, sources, time, velocity)
         state = checkpoint(promote(nearby(level, zone_node)))
         dt = next_step(state, zone_node, velocity, dt, m.min_edge).first().dt
-        state = checkpoint(advance(state, dt, velocity, time))
+        state = advance(state, dt, velocity, time)
         time, made = time + dt, made + 1
         if state.where((F.col("state") != REACHED) & (F.col("level") >= 0)).isEmpty():
             break

@@ -31,6 +31,7 @@ def walk(edges: DataFrame, trips: int, keep: float = KEEP) -> DataFrame:
     kept by source (in memory, spilling to disk) while the trips run, so a trip shuffles ranks and shares, not edges; they are
     let go when the ranks are written.
     """
+    edges = edges.persist()
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     vertices = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     own = vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(keep).alias("w"))
@@ -44,3 +45,4 @@ def walk(edges: DataFrame, trips: int, keep: float = KEEP) -> DataFrame:
         return checkpoint(loop({"rank": weights.where("src = dst").select(F.col("src").alias("v"), F.lit(1.0).alias("rank")).distinct()}, trips, body)["rank"])
     finally:
         weights.unpersist()
+        edges.unpersist()

@@ -27,21 +27,16 @@ def fit(samples: DataFrame, w: list[float], trips: int, rate: float, plus_minus:
 def fit_while(samples: DataFrame, w: list[float], rate: float, tolerance: float, most: int = 200) -> tuple[list[float], int]:
     """Steps while |step|^2 / |w|^2 >= tolerance (the first always runs); raises after ``most``.
 
-    The state of the loop is one row (weights and the last ratio), broadcast to the samples, whose gradient is summed
-    map-side. Samples are read once a trip.
+    The state of the loop is one row: the weights, which the driver puts into the gradient's expression, and the last ratio.
+    Samples are read once a trip and summed map-side.
     """
-    n = len(w)
-    start = samples.sparkSession.createDataFrame([([float(v) for v in w], float("inf"))], "w array<double>, ratio double")
+    spark, schema = samples.sparkSession, "w array<double>, ratio double"
 
     def body(state, _):
-        now = state["w"]
-        dot = sum((F.col("x")[i] * F.col("w")[i] for i in range(n)), F.lit(0.0))
-        share = samples.select("x", "y").crossJoin(F.broadcast(now.select("w"))).select("x", (sigmoid(dot) - F.col("y").cast("double")).alias("f"))
-        g = share.agg(*(F.coalesce(F.sum(F.col("f") * F.col("x")[i]), F.lit(0.0)).alias(f"g{i}") for i in range(n)))  # one row
-        step = now.crossJoin(F.broadcast(g)).select("w", F.array(*(F.lit(rate) * F.col(f"g{i}") for i in range(n))).alias("step"))
-        square = lambda c: sum((F.col(c)[i] * F.col(c)[i] for i in range(n)), F.lit(0.0))
-        moved = step.select("step", F.array(*(F.col("w")[i] - F.col("step")[i] for i in range(n))).alias("w"))
-        return {"w": moved.select("w", (square("step") / F.greatest(square("w"), F.lit(1e-300))).alias("ratio"))}
-
-    state, trips = while_loop({"w": start}, lambda r: r.ratio >= tolerance, "w", body, most)
+        now = state["w"].first().w
+        step = [rate * g for g in gradient(samples, now)]
+        moved = [a - b for a, b in zip(now, step)]
+        return {"w": spark.createDataFrame([(moved, sum(v * v for v in step) / max(sum(v * v for v in moved), 1e-300))], schema)}
+
+    state, trips = while_loop({"w": spark.createDataFrame([([float(v) for v in w], float("inf"))], schema)}, lambda r: r.ratio >= tolerance, "w", body, most)
     return list(state["w"].first().w), trips
