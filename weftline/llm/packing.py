@@ -137,7 +137,7 @@ def frequencies(tokens: DataFrame, dtype: str = "<u2") -> np.ndarray:
 
 
 class Index:
-    """BM25 over the tails of one shard: postings (tail, weight) by term; those of used tails go when half are used."""
+    """BM25 over the tails of one shard: postings (tail, weight) by term; those of used tails go each time a fifth are used."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
         doc, term, n = counted(tails)
@@ -155,7 +155,7 @@ class Index:
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused tails that share a term with the seed, best first (ties: the earlier)."""
         left = int(unused.sum())
-        if 2 * left < self.indexed:
+        if 5 * left < 4 * self.indexed:
             on = unused[self.doc]
             self._set(self.term[on], self.doc[on], self.weight[on])
             self.indexed = left
