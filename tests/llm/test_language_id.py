@@ -91,3 +91,40 @@ def test_long_texts_stay_exact():
 
     one = language_id.bundles(["ab "])[0]
     assert (language_id.bundles(["ab " * 6_000_000])[0] % 1 == 0).all() and one.dtype == np.float64
+
+
+def test_prototypes_and_norms_come_from_all_rows(docs):
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    data = [(i, " ".join(r.choices((EN if i % 3 else DE).split(), k=r.randint(1, 5))), "en" if i % 3 else "de") for i in range(24_000)]
+    d = docs(data)
+    assert language_id.learnt_from(d).count() == len(data)
+    proto = language_id.fit(d)
+    got = language_id.norms(d, proto)
+    assert set(got) == {"de", "en"}
+    for at, k in enumerate(sorted(proto)):
+        own = [t for _, t, lang in data if lang == k]
+        vectors = np.concatenate([language_id.bundles(own[i : i + 500]) for i in range(0, len(own), 500)])
+        assert (proto[k] == np.rint(vectors * (2**20 / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)))).sum(axis=0)).all()
+        u, n = (np.concatenate(x) for x in zip(*(language_id.usual(own[i : i + 500], proto) for i in range(0, len(own), 500))))
+        middle = np.median(u[:, at])
+        want = middle, 1.4826 * np.median(np.abs(u[:, at] / middle - 1) * np.sqrt(n))
+        assert np.allclose(got[k], want, rtol=1e-9)
+
+
+def test_medians_are_exact(spark):
+    import numpy as np
+
+    from weftline.llm.common import medians
+
+    r = np.random.default_rng(3)
+    by = {"a": r.normal(size=801), "b": np.exp(r.normal(size=500) * 9), "c": np.repeat([1.0, 2.0], 50), "d": np.array([-7.0]), "e": np.array([1e308, -1e308, -3.0, 5e-324]), "f": np.array([0.1] * 9 + [5.0]), "g": np.array([3.0, 4.0]), "h": np.array([0.0, 5e-324] * 2 + [0.0])}
+    rows = [(k, float(x)) for k, v in by.items() for x in v] + [("a", None), (None, 1.0), ("z", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {k: float(np.median(v)) for k, v in by.items()}
+    for most, cells in ((10**6, 1 << 14), (0, 1 << 14), (0, 64), (700, 20)):
+        assert medians(df, "k", "v", most, cells) == want
+    assert medians(df.limit(0), "k", "v") == {}

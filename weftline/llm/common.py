@@ -80,6 +80,50 @@ def bucket(column, n: int):
     return F.crc32(column.cast("string")) % n
 
 
+def medians(df: DataFrame, group: str, value: str, most: int = 100_000, cells: int = 1 << 14) -> dict:
+    """The exact median of ``value`` (finite doubles) by ``group``, of all rows; rows with a null in either don't count.
+
+    The values between which a median lies are counted in cells, and the cell that holds it is cut again, until ``most`` rows
+    are left in all; only those come to the driver, and counts of some ``cells`` cells a pass (two a group at least).
+    """
+    df = df.select(F.col(group).alias("g"), F.col(value).alias("x")).where("g is not null and x is not null")
+    out: dict = {}
+    # by group: least and most of the values left, how many, and the places of the two middle ones among them
+    left = {r.g: (r.lo, r.hi, r.n, (r.n - 1) // 2, r.n // 2) for r in df.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect()}
+    while True:
+        out |= {g: lo for g, (lo, hi, *_) in left.items() if lo == hi}
+        left = {g: v for g, v in left.items() if v[0] < v[1]}
+        if not left:
+            return out
+        k = max(2, cells // len(left))
+        bounds = F.broadcast(df.sparkSession.createDataFrame([(g, lo, hi) for g, (lo, hi, *_) in left.items()], "g string, lo double, hi double"))
+        rows = df.join(bounds, "g").where("x >= lo and x <= hi")
+        if sum(v[2] for v in left.values()) <= most:
+            found: dict = {}
+            for r in rows.select("g", "x").collect():
+                found.setdefault(r.g, []).append(r.x)
+            for g, (_, _, _, a, b) in left.items():
+                own = sorted(found[g])
+                out[g] = (own[a] + own[b]) / 2
+            return out
+        # halves, so that the width of no range overflows; the least value is in the first cell and the largest in the last
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        cell = F.when(F.col("x") == F.col("lo"), F.lit(0)).when(F.col("x") == F.col("hi"), F.lit(k - 1)).otherwise(F.least(F.floor(share * k), F.lit(k - 1)))
+        cut: dict = {}
+        for r in rows.groupBy("g", cell.alias("cell")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect():
+            cut.setdefault(r.g, []).append((r.cell, r.lo, r.hi, r.n))
+        for g, (_, _, _, a, b) in list(left.items()):
+            for _, lo, hi, n in sorted(cut[g]):
+                if b < n:
+                    left[g] = lo, hi, n, a, b
+                    break
+                if a < n:  # the last of this cell and the first of the next
+                    out[g] = (hi + min(x[1] for x in cut[g] if x[1] > hi)) / 2
+                    del left[g]
+                    break
+                a, b = a - n, b - n
+
+
 def join_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, rows: int | None = None, hot: int | None = None, near: int = 0) -> DataFrame:
     """Inner join of ``big`` with ``small``, whose keys are unique and whose column ``n`` says how many rows of ``big`` have each.
 

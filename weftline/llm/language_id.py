@@ -17,13 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bucket, filter_texts, map_rows
+from weftline.llm.common import bucket, filter_texts, map_rows, medians
+from weftline.session import written
 
 #: Dimensions; symbols (0 for any run of non-letters, 26 Latin letters, the rest shared by hash); letters in an n-gram.
 DIM, SYMBOLS, N = 1024, 128, 3
 UNDETERMINED = "und"
-#: About how many labelled texts are learnt from, in even shares by language as far as they go.
-FIT_ROWS = 20_000
+#: Languages whose sums a task holds at once while it learns.
+FIT_LANGUAGES = 512
 #: A text is like a language if its n-grams are at least LEAST_LIKE times as usual there as those of its training
 #: texts; a short text may also be under that by chance, up to CHANCE times the training texts' spread (a median, so about a third
 #: of what few n-grams vary by).
@@ -96,13 +97,16 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def learnt_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``l, t``: about ``fit_rows`` of the rows with a text, an id and a language; a hash of ``key`` and the numbers of rows by language say which.
+def learnt_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int | None = None) -> DataFrame:
+    """``l, t``: all rows with a text, an id and a language.
 
-    Every language has an even share, and what small ones leave goes to the others, so a rare language isn't missed. One
+    ``fit_rows``, if given, says about how many of them instead; a hash of ``key`` and the numbers of rows by language say which.
+    Every language then has an even share, and what small ones leave goes to the others, so a rare language isn't missed. One
     number a language comes to the driver. Nothing is sorted or shuffled but counts.
     """
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and l is not null and t is not null")
+    if fit_rows is None:
+        return known.select("l", "t")
     counts = sorted((r["count"], r.l) for r in known.groupBy("l").count().collect())
     rates, left = [], float(fit_rows)
     for i, (n, language) in enumerate(counts):
@@ -116,15 +120,18 @@ def learnt_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: st
     return known.join(rate, "l").where(place < F.col("rate")).select("l", "t")
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """Prototypes by language, from the rows of learnt_from(). What comes to the driver is one vector a
-    language: the counts are added on the executors.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int | None = None) -> dict[str, np.ndarray]:
+    """Prototypes by language, from the rows of learnt_from(): all that have a text, an id and a language. What comes to the
+    driver is one vector a language: the counts are added on the executors.
     """
     known = learnt_from(docs, text, lang, key, fit_rows)
 
     def partial(lists):
         sums: dict[str, np.ndarray] = {}
         for rows in lists:
+            if len(sums) >= FIT_LANGUAGES:
+                yield [(k, [int(x) for x in v]) for k, v in sums.items()]
+                sums = {}
             v = bundles([r[1] for r in rows])
             for x, r in zip(v, rows):
                 norm = np.sqrt(x @ x)
@@ -179,7 +186,8 @@ def usual(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tuple[n
 def norms(docs: DataFrame, prototypes: dict[str, np.ndarray], **names) -> dict[str, tuple[float, float]]:
     """By language, of the texts that ``fit`` learns from: the median of ``usual``, and the spread of one n-gram as a share of it.
 
-    Both are medians, so that some wrong labels don't move them. Two numbers a text come to the driver.
+    Both are exact medians over all those texts, so that some wrong labels don't move them. Two numbers a text are written to the
+    shared folder; what comes to the driver doesn't grow with the texts (medians()).
     """
     at = {k: i for i, k in enumerate(sorted(prototypes))}
 
@@ -188,16 +196,13 @@ def norms(docs: DataFrame, prototypes: dict[str, np.ndarray], **names) -> dict[s
             u, n = usual([r[1] for r in rows], prototypes)
             yield [(r[0], float(x[at[r[0]]]), float(m)) for r, x, m in zip(rows, u, n) if m and r[0] in at]
 
-    by: dict[str, list] = {}
-    for r in map_rows(learnt_from(docs, **names), run, "l string, u double, n double").collect():
-        by.setdefault(r.l, []).append((r.u, r.n))
-    out = {}
-    for k, v in by.items():
-        u, n = np.array(v).T
-        middle = float(np.median(u))
-        if middle > 0:
-            out[k] = middle, float(1.4826 * np.median(np.abs(u / middle - 1) * np.sqrt(n)))
-    return out
+    each = written(map_rows(learnt_from(docs, **names), run, "l string, u double, n double"), "language-usual")
+    middle = {k: m for k, m in medians(each, "l", "u").items() if m > 0}
+    if not middle:
+        return {}
+    known = F.broadcast(each.sparkSession.createDataFrame(list(middle.items()), "l string, middle double"))  # one row a language
+    spread = medians(each.join(known, "l").select("l", (F.abs(F.col("u") / F.col("middle") - 1) * F.sqrt("n")).alias("d")), "l", "d")
+    return {k: (m, 1.4826 * spread[k]) for k, m in middle.items()}
 
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], norm: dict[str, tuple[float, float]], text: str = "text") -> DataFrame:
