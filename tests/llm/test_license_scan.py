@@ -156,3 +156,30 @@ def test_rules_that_the_gate_once_missed(docs):
     texts = {1: "This program is released under the GNU GPL v3.", 2: "GNU GPL version 2", 3: "under Creative\n    Commons Attribution", 4: "bsd  zero-clause"}
     got = {r.doc_id: (r.labels, r.score) for r in x.op5(docs(list(texts.items()))).collect()}
     assert got == {1: ("gpl-3.0", 0.9), 2: ("gpl-2.0", 0.6), 3: ("cc-by", 0.6), 4: ("0bsd", 0.6)}
+
+
+def test_words_are_counted_without_extracting_them(docs):
+    """Extracting each word took much of the operator's time, and with it the operator was over its budget."""
+    texts = ["", " ", "\x00\x7f", "a", " a", "a ", " a  b ", "a\n\tb", "é", "\U0001f600 \U0001f600x y", "a.b,c", "A[B`c{d\x7fe@f:g/h", "09AZaz", "  \n", "퟿ \u0080", "x" * 70_000 + " y" * 70_000]
+    d = docs(list(enumerate(texts)) + [(-1, None)])
+    got = {r.doc_id: r.n_words for r in x.op5(d).collect()}
+    assert got == {i: brute(t)[0] for i, t in enumerate(texts)} | {-1: 0}
+    assert "regexp_count" not in x.op5(d)._jdf.queryExecution().analyzed().toString()
+
+
+def test_the_gate_is_its_signs_by_first_letter(spark):
+    import random
+    from re import _parser
+
+    from pyspark.sql import functions as F
+
+    from weftline.llm.license_rules import GATE, SIGNS
+
+    r = random.Random(6)
+    found = [t for t in examples(_parser.parse(SIGNS, re.A)) if t]
+    texts = found + [t.upper() for t in found] + [f"xé{t}x" for t in found] + [t[: r.randrange(len(t))] + r.choice("abz ") + t[r.randrange(len(t)) :] for t in found * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(F.col("t").rlike(f"(?i){SIGNS}") != F.col("t").rlike(GATE)).count() == 0
+    assert df.where(F.col("t").rlike(GATE)).count() >= 3 * len(found) and len(found) > 60
+    assert all(re.search(f"(?i:{SIGNS})", t, re.A) is not None for t in found)
+    assert GATE.startswith("(?i)(?=[")

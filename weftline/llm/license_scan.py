@@ -19,14 +19,23 @@ from pyspark.sql import functions as F
 
 from weftline.llm.license_rules import GATE, rules
 
-#: A word in a text whose A-Z aren't lower-cased yet, and what lies between words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words in a text whose A-Z aren't lower-cased yet.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DETECTION = "struct<start:int,end:int,priority:int,label:string,weight:double>"
 
 
+def word_count(text):
+    """The number of words: parts between breaks, without the empty ones, which only the first and last can be. Extracting every word by a regex takes far longer."""
+
+    def full(parts):
+        first, last = F.element_at(parts, 1) == "", (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
+        return (F.size(parts) - first.cast("int") - last.cast("int")).cast("long")
+
+    return F.element_at(F.transform(F.array(F.split(text, f"{BREAK}+", -1)), full), 1)
+
+
 def phrase_hits(text):
     """Array of (word index, label) for all places of the fixed phrases; null for a text that can't hold one."""
     pairs = {(p.split()[0], p.split()[1]) for p in PHRASES}
@@ -126,7 +135,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return own.select(
-        "doc_id", F.regexp_count(t, F.lit(WORD)).cast("long").alias("n_words"), F.coalesce(phrase_hits(t), F.array().cast("array<struct<i:int,label:string>>")).alias("hits"),
+        "doc_id", F.coalesce(word_count(t), F.lit(0).cast("long")).alias("n_words"), F.coalesce(phrase_hits(t), F.array().cast("array<struct<i:int,label:string>>")).alias("hits"),
         F.coalesce(resolved(detections(t)), F.array().cast(f"array<{_DETECTION}>")).alias("detections"),
     )
 
