@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.spatial import AXES, proximity_join
+from weftline.operators.spatial import AXES, Leaves, leaf_pairs, scratch, squares, tiles
+from weftline.session import checkpoint
 
 GRAVITY, DT, STIFFNESS, VISCOSITY, REST_DENSITY = -9.8, 0.001, 3.0, 0.4, 1000.0
 
@@ -25,24 +27,100 @@ class Fluid:
 
 
 def density(p: DataFrame, f: Fluid) -> DataFrame:
-    """``p`` with ``rho`` = (sum over others within h of (h^2 - d^2)^3, plus h^6) times the coefficient."""
-    h2 = f.h * f.h
-    near = proximity_join(p.select("id", *AXES), p.select("id", *AXES), f.h).where("l_id <> r_id")
-    sums = near.groupBy(F.col("l_id").alias("id")).agg(F.sum((h2 - F.col("d2")) * (h2 - F.col("d2")) * (h2 - F.col("d2"))).alias("__s"))
+    """``p`` with ``rho`` = (sum over others within h of (h^2 - d^2)^3, plus h^6) times the coefficient.
+
+    Two leaves of a tile are one block of distances, used both ways; a particle has one sum a tile.
+    """
+    h, h2 = f.h, f.h * f.h
+
+    def kernel(a, b):
+        def block(i, j, same, p, q):
+            w = squares(p.at[i], q.at[j])
+            np.subtract(h2, w, out=w)
+            np.maximum(w, 0.0, out=w)
+            if same is not None:
+                w[same] = 0.0
+            w *= np.multiply(w, w, out=scratch(1, *w.shape))
+            return w.sum(axis=1), w.sum(axis=0)
+
+        yield from _sums(a, b, h, 1, block)
+
+    sums = tiles(p.select("id", *AXES), None, kernel, "id long, __s double").groupBy("id").agg(F.sum("__s").alias("__s"))
     return p.join(sums, "id", "left").withColumn("rho", (F.coalesce("__s", F.lit(0.0)) + f.h**6) * f.density).drop("__s")
 
 
 def forces(p: DataFrame, f: Fluid) -> DataFrame:
-    """``p`` (with rho) with accelerations ax, ay, az from pressure, viscosity and gravity; pairs act in opposite ways."""
-    near = proximity_join(p, p, f.h).where("l_id <> r_id")
-    d = F.sqrt(F.greatest("d2", F.lit(1e-12)))
-    rise = F.lit(f.h) - d
-    push = f.pressure * rise * rise / d * (F.col("l_rho") + F.col("r_rho") - 2 * REST_DENSITY)
-    drag = f.viscosity * rise
-    part = lambda a: ((F.col(f"l_{a}") - F.col(f"r_{a}")) * push + (F.col(f"r_v{a}") - F.col(f"l_v{a}")) * drag) / (F.col("l_rho") * F.col("r_rho"))
-    sums = near.groupBy(F.col("l_id").alias("id")).agg(*(F.sum(part(a)).alias(f"a{a}") for a in AXES))
-    out = p.join(sums, "id", "left")
-    return out.withColumns({f"a{a}": F.coalesce(f"a{a}", F.lit(0.0)) + (GRAVITY if a == "y" else 0.0) for a in AXES})
+    """``p`` (with rho) with accelerations ax, ay, az from pressure, viscosity and gravity; pairs act in opposite ways.
+
+    Blocks as in density(). On an axis on which either velocity is missing a pair has no force. p is written once, as it is used twice.
+    """
+    p = checkpoint(p)
+    h, pressure, viscosity = f.h, f.pressure, f.viscosity
+
+    def kernel(a, b):
+        fields = [[t["rho"].to_numpy(), *(t[f"v{x}"].to_numpy() for x in AXES), *(t[f"v{x}"].is_null().to_numpy() for x in AXES)] for t in (a, b)]
+        plain = all(np.isfinite(c).all() for own in fields for c in own[:4])
+
+        def pair_by_pair(l, r, x, y, d, drag):
+            """Force of each pair by axis, as the sums in SQL have it, for missing or infinite velocities."""
+            both, near = np.multiply.outer(l[0], r[0]), drag > 0
+            push = pressure * drag * drag / d * (np.add.outer(l[0], r[0]) - 2 * REST_DENSITY) / both
+            drag = viscosity * drag / both
+            out = [np.subtract.outer(x[k], y[k]) * push + np.subtract.outer(-l[1 + k], -r[1 + k]) * drag for k in range(3)]
+            w = np.stack([np.where(near & ~np.logical_or.outer(l[4 + k], r[4 + k]), o, 0.0) for k, o in enumerate(out)])
+            return w.sum(axis=2), -w.sum(axis=1)
+
+        def one_way(push, drag, l, r, x, y):
+            """Forces on particles at x from those at y: a sum over pairs of (x - y) times a weight is x times the weights less the weighted y."""
+            u, v = 1 / l[0], 1 / r[0]
+            n = push @ np.stack([np.ones_like(v), *y, v, *(y * v)]).T
+            m = drag @ np.stack([v, *(np.stack(r[1:4]) * v)]).T
+            near, heavy = x * n[:, 0] - n[:, 1:4].T, x * n[:, 4] - n[:, 5:].T
+            return pressure * (u * near + (1 - 2 * REST_DENSITY * u) * heavy) + viscosity * u * (m[:, 1:].T - np.stack(l[1:4]) * m[:, 0])
+
+        def block(i, j, same, p, q):
+            l, r = ([c[t.rows[k]] for c in own] for own, t, k in zip(fields, (p, q), (i, j)))
+            d = squares(p.at[i], q.at[j])
+            np.maximum(d, 1e-12, out=d)
+            np.sqrt(d, out=d)
+            drag = np.subtract(h, d, out=scratch(1, *d.shape))
+            np.maximum(drag, 0.0, out=drag)
+            if same is not None:
+                drag[same] = 0.0
+            middle = p.at[i].mean(axis=1, keepdims=True)
+            x, y = p.at[i] - middle, q.at[j] - middle
+            if not plain:
+                return pair_by_pair(l, r, x, y, d, drag)
+            push = np.multiply(drag, drag, out=scratch(2, *d.shape))
+            push /= d
+            return one_way(push, drag, l, r, x, y), one_way(push.T, drag.T, r, l, y, x)
+
+        yield from _sums(a, b, h, 3, block)
+
+    names = [f"__{a}" for a in AXES]
+    parts = tiles(p.select("id", *AXES, *(f"v{a}" for a in AXES), "rho"), None, kernel, "id long, " + ", ".join(f"{n} double" for n in names))
+    out = p.join(parts.groupBy("id").agg(*(F.sum(n).alias(n) for n in names)), "id", "left")
+    return out.select(*p.columns, *((F.coalesce(n, F.lit(0.0)) + (GRAVITY if a == "y" else 0.0)).alias(f"a{a}") for a, n in zip(AXES, names)))
+
+
+def _sums(a, b, h: float, width: int, block):
+    """Sums by particle, of two groups, of what ``block(i, j, same, p, q)`` gives for two leaves: ``width`` sums for each
+    particle of the first, and of the second. ``same``: where both are one id, None if nowhere.
+    """
+    p = Leaves(a)
+    q = p if b is a else Leaves(b)
+    ids = [t["id"].to_numpy() for t in (a, b)]
+    both = ids[0] if b is a else np.concatenate(ids)
+    repeated = len(np.unique(both)) < len(both)
+    sums = [np.zeros((width, len(x))) for x in ids[: 1 if b is a else 2]]
+    for i, j in leaf_pairs(p, q, h):
+        own = b is a and i == j
+        to, back = block(i, j, np.equal.outer(ids[0][p.rows[i]], ids[1][q.rows[j]]) if own or repeated else None, p, q)
+        sums[0][:, p.rows[i]] += to
+        if not own:
+            sums[-1][:, q.rows[j]] += back
+    for k, s in enumerate(sums):
+        yield [ids[k], *s]
 
 
 def wall_forces(p: DataFrame, low: float, high: float, reach: float, spring: float = 30000.0, damping: float = 128.0) -> DataFrame:
