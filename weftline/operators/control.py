@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import checkpoint
+
 
 def place_round_robin(parts: DataFrame, workers: DataFrame) -> DataFrame:
     """Partition i of each group (grp, part) goes to the i-th worker by id, cyclically: ``grp, part, worker``."""
@@ -139,16 +141,45 @@ def ready_order(queue: DataFrame, *scope: str) -> DataFrame:
     return queue.withColumn("turn", F.row_number().over(w))
 
 
+#: Rows of a block of in_order().
+BLOCK_ROWS = 200_000
+
+
+def in_order(rows: DataFrame, seq: str) -> DataFrame:
+    """``rows`` with ``__block``: blocks of some BLOCK_ROWS rows that follow each other in the order of ``seq``; equal ones share a block.
+
+    Written once, so that blocks stay as they are however often they are read. Running values over all rows are then
+    those within a block (a window by ``__block``) on top of what the blocks before come to (a row a block).
+    """
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    return checkpoint(rows.repartitionByRange(n, seq).withColumn("__block", F.spark_partition_id()))
+
+
+def running_sums(blocks: DataFrame, seq: str, *columns: str) -> DataFrame:
+    """Rows of in_order() with ``columns`` replaced by their sums up to each row and its equals; null before the first value."""
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy("__block").agg(*(F.sum(c).alias(c) for c in columns))
+    sums = sums.select("__block", *(F.sum(c).over(before).alias(f"__before_{c}") for c in columns))
+    w = Window.partitionBy("__block").orderBy(seq)
+    within = blocks.withColumns({c: F.sum(c).over(w) for c in columns}).join(F.broadcast(sums), "__block")
+    return within.withColumns({c: F.coalesce(F.col(f"__before_{c}") + F.col(c), c, f"__before_{c}") for c in columns}).drop(*(f"__before_{c}" for c in columns))
+
+
 def fair_share(samples: DataFrame, share: float, threshold: float) -> DataFrame:
     """Which of two applications runs first: the ratio of used cycles against share (1 +- threshold).
 
-    samples: seq, a, b (cycles so far). ``first``: a if a is behind its share, b if it's ahead, else as before
-    (null until either happened).
+    samples: seq, a, b (cycles so far), of in_order() or else put in order here. ``first``: a if a is behind its share, b if
+    it's ahead, else as before (null until either happened).
     """
+    if "__block" not in samples.columns:
+        samples = in_order(samples, "seq")
     ratio = F.col("a") / F.nullif(F.col("b"), F.lit(0))
     now = F.when(ratio < share * (1 - threshold), "a").when(ratio > share * (1 + threshold), "b")
-    s = samples.withColumn("ratio", ratio).withColumn("now", now)
-    return s.select("seq", "ratio", F.last("now", ignorenulls=True).over(Window.orderBy("seq")).alias("first"))
+    s = samples.select("__block", "seq", ratio.alias("ratio"), now.alias("now"))
+    ends = s.groupBy("__block").agg(F.max(F.when(F.col("now").isNotNull(), F.struct("seq", "now")))["now"].alias("now"))
+    before = ends.select("__block", F.last("now", ignorenulls=True).over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    within = F.last("now", ignorenulls=True).over(Window.partitionBy("__block").orderBy("seq"))
+    return s.withColumn("first", within).join(F.broadcast(before), "__block").select("seq", "ratio", F.coalesce("first", "__before").alias("first"))
 
 
 def loop_pairs(statements: DataFrame, *scope: str) -> DataFrame:
@@ -167,8 +198,6 @@ def variable_groups(accesses: DataFrame, rounds: int = 50) -> DataFrame:
 
     Least labels pass between statements and variables until nothing changes.
     """
-    from weftline.session import checkpoint
-
     edges = accesses.select("stmt", "var").distinct().persist()
     labels = edges.select("var").distinct().withColumn("grp", F.col("var"))
     for _ in range(rounds):

@@ -155,10 +155,10 @@ def variable_groups(spark, d):
 n as (select seq, round(a / nullif(b, 0), 4) as ratio, case when round(a / nullif(b, 0), 4) < 0.9 then 'a' when round(a / nullif(b, 0), 4) > 1.1 then 'b' end as now from s)
 select seq, ratio, last_value(now ignore nulls) over (order by seq rows between unbounded preceding and current row) as first from n""")
 def fair_share_flip(spark, d):
-    o = Window.orderBy("event_id")
-    own = lambda k: F.sum(F.when(F.col("user_id") % 2 == k, F.col("value")).otherwise(0.0)).over(o)
-    s = table(spark, d, "events").select(F.col("event_id").alias("seq"), own(0).alias("a0"), own(1).alias("b0"))
-    s = s.select("seq", F.round(F.col("a0") / F.nullif("b0", F.lit(0)), 4).alias("a"), F.lit(1.0).alias("b"))
+    own = lambda k: F.when(F.col("user_id") % 2 == k, F.col("value")).otherwise(0.0)
+    e = control.in_order(table(spark, d, "events").select(F.col("event_id").alias("seq"), own(0).alias("a"), own(1).alias("b")), "seq")
+    s = control.running_sums(e, "seq", "a", "b")
+    s = s.select("__block", "seq", F.round(F.col("a") / F.nullif("b", F.lit(0)), 4).alias("a"), F.lit(1.0).alias("b"))
     return control.fair_share(s, 1.0, 0.1)
 
 
