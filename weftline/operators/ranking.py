@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.iterate import loop
@@ -24,18 +24,25 @@ def edge_owner(src, dst, vertices: int, parts: int):
     return F.least(F.floor(F.least(src, dst) / max(1, vertices // parts)), F.lit(parts - 1))
 
 
-def walk(edges: DataFrame, trips: int, keep: float = KEEP) -> DataFrame:
+def walk(edges: DataFrame, trips: int, keep: float = KEEP, both_ways: bool = False) -> DataFrame:
     """``v, rank`` after ``trips`` trips from rank 1, for every vertex of an edge; one without out-edges keeps its share and sends nothing.
 
-    A vertex's own share is an edge to itself, so a trip is one join and one sum. The weights are computed once and
-    kept by source (in memory, spilling to disk) while the trips run, so a trip shuffles ranks and shares, not edges; they are
-    let go when the ranks are written.
+    A vertex's own share is an edge to itself, so a trip is one join and one sum. Edges are shuffled once, by source; degrees,
+    own shares and first ranks are made where they lie, and the weights kept there (in memory, spilling to disk) while the trips
+    run, so a trip shuffles ranks and shares, not edges; they are let go when the ranks are written. ``both_ways``: every
+    edge is known to be there in both directions, so that all vertices are sources.
     """
-    edges = edges.persist()
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    vertices = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
-    own = vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(keep).alias("w"))
-    weights = edges.join(degree, "src").select("src", "dst", ((1 - keep) / F.col("deg")).alias("w")).unionByName(own).repartition("src").persist()
+    edges = edges.select("src", "dst")
+    rows = edges
+    if not both_ways:
+        edges = edges.persist()
+        rows = edges.unionByName(edges.select(F.col("dst").alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")).distinct())
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = Window.partitionBy("src")
+    share = F.when(F.col("dst").isNotNull(), F.struct("dst", ((1 - keep) / F.count("dst").over(by)).alias("w")))
+    own = F.when(F.row_number().over(by.orderBy("src")) == 1, F.struct(F.col("src").alias("dst"), F.lit(keep).alias("w")))
+    each = rows.repartition(parts, "src").select("src", share.alias("share"), own.alias("own"))
+    weights = each.select("src", F.explode(F.array_compact(F.array("share", "own"))).alias("e")).select("src", "e.*").persist()
 
     def body(state, _):
         moved = weights.join(state["rank"].withColumnRenamed("v", "src"), "src")

@@ -32,12 +32,12 @@ def _walk_sql(edges: str, trips: int, tail: str) -> str:
 
 @register("pagerank_bipartite", _walk_sql(_PAIRS, 3, "select v, round(rank, 6) as rank from @"))
 def pagerank_bipartite(spark, d):
-    return ranking.walk(bipartite_edges(spark, d), 3).select("v", F.round("rank", 6).alias("rank"))
+    return ranking.walk(bipartite_edges(spark, d), 3, both_ways=True).select("v", F.round("rank", 6).alias("rank"))
 
 
 @register("pagerank_total", _walk_sql(_PAIRS, 3, "select count(*)::bigint as vertices, round(sum(rank), 4) as total from @"))
 def pagerank_total(spark, d):
-    return ranking.walk(bipartite_edges(spark, d), 3).agg(F.count("*").alias("vertices"), F.round(F.sum("rank"), 4).alias("total"))
+    return ranking.walk(bipartite_edges(spark, d), 3, both_ways=True).agg(F.count("*").alias("vertices"), F.round(F.sum("rank"), 4).alias("total"))
 
 
 _MESH = """g as (select (range // 4)::bigint as x, (range % 4)::bigint as y from range(16)), e as (select a.x * 4 + a.y as src, b.x * 4 + b.y as dst from g a join g b on abs(a.x - b.x) + abs(a.y - b.y) = 1)"""
@@ -45,7 +45,7 @@ _MESH = """g as (select (range // 4)::bigint as x, (range % 4)::bigint as y from
 
 @register("pagerank_mesh", _walk_sql(_MESH, 10, "select v, round(rank, 6) as rank from @"))
 def pagerank_mesh(spark, d):
-    return ranking.walk(ranking.mesh_edges(spark, 4, 4), 10).select("v", F.round("rank", 6).alias("rank"))
+    return ranking.walk(ranking.mesh_edges(spark, 4, 4), 10, both_ways=True).select("v", F.round("rank", 6).alias("rank"))
 
 
 @register("edge_owners", "with p as (select distinct o_custkey as a, l_suppkey as b from orders join lineitem on o_orderkey = l_orderkey) select least(least(a, b) // 12, 7)::bigint as part, count(*)::bigint as edges from p group by 1")
